@@ -1,4 +1,392 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the same in DuckDB's SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import words as W
+from ..operators import annotate, collocates, evaluate, frequency, kwic
+from ..operators.corpus import Corpus
+from ..operators.tagger import Forest, Model
+from ..sources.text import clean_tags, from_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _with_words(docs: DataFrame) -> DataFrame:
+    """Token arrays without spans: all that the queries below read."""
+    return docs.withColumn("tokens", F.transform(W.words("text"), lambda w: F.struct(w.alias("word"))))
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_words(_docs(spark, sf_dir))
+
+
+_RE = W.WORD_RE.replace("'", "''")
+_WORDS = f"list_filter(regexp_extract_all(text, '{_RE}'), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))"
+_T = f"t AS (SELECT doc_id, lang, CAST(doc_id AS VARCHAR) AS path, {_WORDS} AS toks FROM documents)"
+
+
+def _lines(term: str, context: int, where: str = "true", tail: str = "") -> str:
+    return f"""WITH {_T},
+p AS (SELECT doc_id, path, toks, unnest(list_filter(range(0, len(toks)), lambda i: lower(toks[i + 1]) = '{term}')) AS position FROM t WHERE {where})
+SELECT doc_id, path, CAST(position AS INTEGER) AS position,
+  array_to_string(toks[greatest(position - {context}, 0) + 1 : position], ' ') AS "left", toks[position + 1] AS hit,
+  array_to_string(toks[position + 2 : position + 1 + {context}], ' ') AS "right" FROM p {tail}"""
+
+
+@query(f"WITH {_T} SELECT doc_id, CAST(unnest(range(0, len(toks))) AS INTEGER) AS position, unnest(toks) AS word FROM t")
+def tokenize_words(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(W.words("text")).alias("position", "word"))
+
+
+@query(f"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '(?s)(.*?)({_RE})', 1) AS g, regexp_extract_all(text, '(?s)(.*?)({_RE})', 2) AS w FROM documents),
+b AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(g) AS g, unnest(w) AS w FROM a),
+c AS (SELECT doc_id, i, w, sum(strlen(g) + strlen(w)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM b)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS position, w AS word, CAST(e - strlen(w) AS INTEGER) AS byte_start, CAST(e AS INTEGER) AS byte_end
+FROM c WHERE regexp_matches(w, '[\\p{{L}}\\p{{N}}]')""")
+def token_offsets(spark, sf_dir):
+    spans = W.with_spans(_docs(spark, sf_dir))
+    return spans.select("doc_id", F.posexplode("tokens").alias("position", "t")).select("doc_id", "position", "t.word", "t.byte_start", "t.byte_end")
+
+
+@query(_lines("the", 7))
+def kwic_word(spark, sf_dir):
+    return kwic.kwic(_corpus(spark, sf_dir), "the")
+
+
+@query(_lines("the", 0))
+def kwic_zero_context(spark, sf_dir):
+    return kwic.kwic(_corpus(spark, sf_dir), "The", context=0)
+
+
+@query(_lines("and", 7, tail="ORDER BY doc_id, position LIMIT 50"))
+def kwic_limit(spark, sf_dir):
+    return kwic.kwic(_corpus(spark, sf_dir), "and", limit=50)
+
+
+@query(_lines("blend", 100000))
+def kwic_edge_clamp(spark, sf_dir):
+    return kwic.kwic(_corpus(spark, sf_dir), "blend", context=100_000)
+
+
+_LEFT_KEY = "lower(coalesce(regexp_extract(\"left\", '(\\S+)$', 1), ''))"
+_RIGHT_KEY = "lower(coalesce(regexp_extract(\"right\", '^(\\S+)', 1), ''))"
+
+
+@query(f"SELECT * FROM ({_lines('of', 8)}) ORDER BY {_LEFT_KEY}, doc_id, position LIMIT 200")
+def kwic_sort_left1(spark, sf_dir):
+    return kwic.sort_lines(kwic.kwic(_corpus(spark, sf_dir), "of", context=8), "left1").limit(200)
+
+
+@query(f"SELECT * FROM ({_lines('of', 8)}) ORDER BY {_RIGHT_KEY} DESC, doc_id DESC, position DESC LIMIT 200")
+def kwic_sort_right1(spark, sf_dir):
+    return kwic.sort_lines(kwic.kwic(_corpus(spark, sf_dir), "of", context=8), "right1", descending=True).limit(200)
+
+
+@query(_lines("de", 5, "lang IN ('fr', 'es')"))
+def kwic_multi_doc_filter(spark, sf_dir):
+    return kwic.kwic(_corpus(spark, sf_dir).where(F.col("lang").isin("fr", "es")), "de", context=5)
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {_WORDS} AS toks FROM conversations),
+p AS (SELECT conv_id, turn, toks, unnest(list_filter(range(0, len(toks)), lambda i: lower(toks[i + 1]) = 'the')) AS position FROM t)
+SELECT conv_id * 1000000 + turn AS doc_id, CAST(conv_id * 1000000 + turn AS VARCHAR) AS path, CAST(position AS INTEGER) AS position,
+  array_to_string(toks[greatest(position - 3, 0) + 1 : position], ' ') AS "left", toks[position + 1] AS hit, array_to_string(toks[position + 2 : position + 4], ' ') AS "right" FROM p""")
+def kwic_conversations(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), "text")
+    return kwic.kwic(_with_words(from_table(turns)), "the", context=3)
+
+
+_SHAPED = "lambda w: lower(regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g'))"
+_KEPT = "lambda w: strlen(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')"
+
+
+def _sides(term: str, left: int, right: int, hits: int = 5000) -> str:
+    reach = max(left, right, 1)
+    shape = lambda x: f"list_filter(list_transform({x}, {_SHAPED}), {_KEPT})"
+    return f"""{_T},
+h AS (SELECT doc_id, toks, unnest(list_filter(range(0, len(toks)), lambda i: lower(toks[i + 1]) = '{term}')) AS position FROM t),
+n AS (SELECT * FROM h ORDER BY doc_id, position LIMIT {hits}),
+s AS (SELECT {shape(f'toks[greatest(position - {reach}, 0) + 1 : position]')} AS l, {shape(f'toks[position + 2 : position + 1 + {reach}]')} AS r FROM n),
+w AS (SELECT 'l' AS side, unnest(l[greatest(len(l) - {left}, 0) + 1 :]) AS word FROM s UNION ALL SELECT 'r', unnest(r[1 : {right}]) FROM s)"""
+
+
+def _collocates_sql(term: str, left: int, right: int, limit: int) -> str:
+    return f"""WITH {_sides(term, left, right)},
+c AS (SELECT word, count(*) FILTER (side = 'l') AS left_count, count(*) FILTER (side = 'r') AS right_count, count(*) AS total FROM w GROUP BY word)
+SELECT word, '' AS pos, left_count, right_count, total, round(log2(total + 1), 6) AS log_dice, round(log2(total + 1), 6) AS mi, round(log2(total + 1), 6) AS z, 0 AS dist
+FROM c ORDER BY total DESC, word LIMIT {limit}"""
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query(_collocates_sql("the", 5, 5, 50))
+def collocates_sym(spark, sf_dir):
+    return _rounded(collocates.collocates(_corpus(spark, sf_dir), "the", left=5, right=5), "log_dice", "mi", "z")
+
+
+@query(_collocates_sql("and", 2, 6, 40))
+def collocates_asym(spark, sf_dir):
+    return _rounded(collocates.collocates(_corpus(spark, sf_dir), "and", left=2, right=6, limit=40), "log_dice", "mi", "z")
+
+
+@query(_collocates_sql("of", 3, 0, 20))
+def collocates_left_only(spark, sf_dir):
+    return _rounded(collocates.collocates(_corpus(spark, sf_dir), "of", left=3, right=0, limit=20), "log_dice", "mi", "z")
+
+
+@query(f"WITH {_sides('the', 5, 5)} SELECT (SELECT count(*) FROM n) AS node_hits, (SELECT count(*) FROM w) AS window_tokens")
+def collocates_summary(spark, sf_dir):
+    return collocates.summary(_corpus(spark, sf_dir), "the")
+
+
+@query(f"""WITH {_sides('of', 4, 4, 1000000000)}, c AS (SELECT word, count(*) AS total FROM w GROUP BY word HAVING count(*) >= 5),
+f AS (SELECT lower(regexp_replace(x, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')) AS word, count(*) AS freq FROM (SELECT unnest(toks) AS x FROM t) GROUP BY 1),
+a AS (SELECT sum(freq) AS n, sum(freq) FILTER (word = 'of') AS node FROM f),
+e AS (SELECT c.word, total, freq, node, CAST(node AS DOUBLE) * freq * 8 / n AS x FROM c JOIN f USING (word), a)
+SELECT word, total, freq, round(14 + log2(2.0 * total / (node + freq)), 6) AS log_dice, round(log2(total / x), 6) AS mi, round((total - x) / sqrt(x), 6) AS z FROM e""")
+def collocates_scored(spark, sf_dir):
+    return _rounded(collocates.scored(_corpus(spark, sf_dir), "of", 4, 4, 5), "log_dice", "mi", "z")
+
+
+@query(f"""WITH b AS ({_collocates_sql('the', 5, 5, 50)})
+SELECT word, left_count, right_count, total, round((right_count - left_count)::DOUBLE / total, 6) AS preference, 'function' AS family, round(4 + 12 * sqrt(total) / sqrt((SELECT max(total) FROM b)), 6) AS radius FROM b""")
+def collocates_chart(spark, sf_dir):
+    x = collocates.for_chart(collocates.collocates(_corpus(spark, sf_dir), "the", left=5, right=5))
+    return _rounded(x.select("word", "left_count", "right_count", "total", "preference", "family", "radius"), "preference", "radius")
+
+
+@query(f"""WITH {_T}, c AS (SELECT lower(w) AS word, count(*) AS "count" FROM (SELECT unnest(toks) AS w FROM t) GROUP BY 1)
+SELECT word, "count", round(100::DOUBLE * "count" / (SELECT sum("count") FROM c), 6) AS pct FROM c""")
+def freq_word(spark, sf_dir):
+    return _rounded(frequency.frequency(_corpus(spark, sf_dir)), "pct")
+
+
+@query(f"""WITH {_T}, c AS (SELECT lang, lower(w) AS word, count(*) AS "count" FROM (SELECT lang, unnest(toks) AS w FROM t) GROUP BY 1, 2)
+SELECT lang, word, "count", round(100::DOUBLE * "count" / sum("count") OVER (PARTITION BY lang), 6) AS pct FROM c""")
+def freq_word_by_lang(spark, sf_dir):
+    return _rounded(frequency.frequency(_corpus(spark, sf_dir), by=["lang"]), "pct")
+
+
+@query(f"""WITH {_T}, c AS (SELECT lower(w) AS word, count(*) AS "count" FROM (SELECT unnest(toks) AS w FROM t) GROUP BY 1),
+k AS (SELECT word, "count", 100::DOUBLE * "count" / (SELECT sum("count") FROM c) AS pct FROM c ORDER BY "count" DESC, word LIMIT 30)
+SELECT word, "count", round(pct, 6) AS pct, round("count"::DOUBLE / (SELECT max("count") FROM k), 6) AS bar FROM k""")
+def freq_top_bars(spark, sf_dir):
+    return _rounded(frequency.with_bars(frequency.frequency(_corpus(spark, sf_dir), limit=30)), "pct", "bar")
+
+
+@query(f"""WITH {_T}, c AS (SELECT doc_id, path, len(list_filter(toks, lambda w: lower(w) = 'the')) AS hits, len(toks) AS doc_tokens FROM t)
+SELECT doc_id, path, hits, doc_tokens, round(1e6 * hits / doc_tokens, 4) AS per_million FROM c WHERE hits > 0""")
+def doc_freq_per_million(spark, sf_dir):
+    return frequency.by_document(_corpus(spark, sf_dir), "the", top=None).withColumn("per_million", F.round("per_million", 4))
+
+
+@query(f"""WITH l AS ({_lines('the', 7)}), m AS (SELECT greatest(max(position), 1) AS top FROM l),
+c AS (SELECT least(59, CAST(floor(position * 60::DOUBLE / top) AS INTEGER)) AS bucket, count(*) AS n FROM l, m GROUP BY 1)
+SELECT CAST(b.range AS INTEGER) AS bucket, coalesce(n, 0) AS hits FROM range(60) b LEFT JOIN c ON c.bucket = b.range""")
+def hit_density(spark, sf_dir):
+    return kwic.density(kwic.kwic(_corpus(spark, sf_dir), "the"))
+
+
+@query(f"""WITH {_T}, p AS (SELECT doc_id, len(toks) AS n, unnest(list_filter(range(0, len(toks)), lambda i: lower(toks[i + 1]) = 'the')) AS position FROM t)
+SELECT doc_id, CAST(floor(position * 100::DOUBLE / n) AS INTEGER) AS mark, count(*) AS hits FROM p GROUP BY 1, 2""")
+def dispersion(spark, sf_dir):
+    return kwic.dispersion(_corpus(spark, sf_dir), "the")
+
+
+@query("""SELECT count(*) AS doc_count, CAST(sum(strlen(text)) AS BIGINT) AS byte_count, CAST(sum(strlen(text)) // 6 AS BIGINT) AS token_count_estimate,
+CAST(sum(strlen(text)) // count(*) AS BIGINT) AS avg_doc_len FROM documents""")
+def corpus_stats(spark, sf_dir):
+    return frequency.stats(_docs(spark, sf_dir))
+
+
+@query(f"WITH {_T} SELECT count(*) AS tokens, count(DISTINCT lower(w)) AS types FROM (SELECT unnest(toks) AS w FROM t)")
+def vocabulary_size(spark, sf_dir):
+    return frequency.vocabulary(_corpus(spark, sf_dir))
+
+
+#: A lexicon and suffix rules that fit the invented words of the test tables.
+LEXICON = [
+    ("the", 0, "DT", 1.0, "the"), ("and", 1, "CC", 1.0, "and"), ("of", 2, "IN", 0.9, "of"), ("of", 3, "RP", 0.1, "of"), ("to", 4, "TO", 0.6, "to"), ("to", 2, "IN", 0.4, "to"),
+    ("that", 2, "IN", 0.5, "that"), ("that", 5, "WDT", 0.5, "that"), ("is", 6, "VBZ", 1.0, "be"), ("are", 7, "VBP", 1.0, "be"), ("The", 8, "NP", 0.2, "The"), ("was", 9, "VBD", 1.0, "be"),
+]
+SUFFIXES = [("ing", "VBG"), ("ed", "VBN"), ("ly", "RB"), ("tion", "NN"), ("s", "NNS"), ("es", "NNS"), ("er", "JJR"), ("est", "JJS"), ("able", "JJ"), ("ble", "JJ"), ("ment", "NN")]
+_LEX_SQL = "lex(word, tag_id, tag, prob, lemma) AS (VALUES " + ", ".join(f"('{w}', {i}, '{t}', {p}::DOUBLE, '{x}')" for w, i, t, p, x in LEXICON) + ")"
+_SUF_SQL = "suf(suffix, tag) AS (VALUES " + ", ".join(f"('{s}', '{t}')" for s, t in SUFFIXES) + ")"
+_TOK_SQL = f"{_T}, k AS (SELECT doc_id, lang, path, CAST(unnest(range(0, len(toks))) AS INTEGER) AS position, unnest(toks) AS word FROM t)"
+_BY_LEX = f"""{_LEX_SQL}, best AS (SELECT word, arg_max(tag, (prob, tag_id)) AS tag, arg_max(lemma, (prob, tag_id)) AS lemma FROM lex GROUP BY word),
+g AS (SELECT doc_id, position, k.word, coalesce(a.tag, b.tag) AS pos, CASE WHEN a.word IS NOT NULL THEN a.lemma ELSE b.lemma END AS lemma
+  FROM k LEFT JOIN best a ON a.word = k.word LEFT JOIN best b ON a.word IS NULL AND regexp_matches(k.word, '^\\p{{Lu}}') AND b.word = lower(k.word))"""
+_BY_SUF = f"""{_SUF_SQL}, d AS (SELECT DISTINCT lower(word) AS lw FROM k), e AS (SELECT lw, arg_max(tag, len(suffix)) AS tag FROM d JOIN suf ON suffix(lw, suf.suffix) AND len(suf.suffix) <= 6 GROUP BY lw),
+x AS (SELECT doc_id, lang, path, position, word, coalesce(e.tag, 'NN') AS pos FROM k LEFT JOIN e ON e.lw = lower(k.word))"""
+
+
+def _lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LEXICON, "word string, tag_id int, tag string, prob double, lemma string")
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", "path", "lang", F.posexplode(W.words("text")).alias("position", "word"))
+
+
+def _suffix_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate.tag_by_suffix(_tokens(spark, sf_dir), spark.createDataFrame(SUFFIXES, "suffix string, tag string"))
+
+
+def _suffix_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tags inside token arrays, by a lookup in a literal map: no shuffle."""
+    table = F.create_map(*[F.lit(x) for pair in SUFFIXES for x in pair])
+    longest = F.expr("transform(sequence(6, 1), n -> right(lower(w), n))")
+
+    def token(w):
+        ends = F.transform(F.sequence(F.lit(6), F.lit(1)), lambda n: F.when(F.length(w) >= n, F.try_element_at(table, F.lower(F.right(w, n)))))
+        lemma = F.regexp_replace(F.lower(w), "(ing|ed|ly|s)$", "")
+        return F.struct(w.alias("word"), lemma.alias("lemma"), F.coalesce(F.get(F.filter(ends, lambda t: t.isNotNull()), F.lit(0)), F.lit("NN")).alias("pos"))
+
+    return _docs(spark, sf_dir).withColumn("tokens", F.transform(W.words("text"), token))
+
+
+@query(f"WITH {_TOK_SQL}, {_BY_LEX} SELECT doc_id, position, word, pos, lemma FROM g")
+def lexicon_tag_argmax(spark, sf_dir):
+    return annotate.tag_by_lexicon(_tokens(spark, sf_dir).drop("lang", "path"), _lexicon(spark)).select("doc_id", "position", "word", "pos", "lemma")
+
+
+@query(f"WITH {_TOK_SQL}, {_BY_SUF} SELECT doc_id, position, word, pos FROM x")
+def suffix_tag(spark, sf_dir):
+    return _suffix_tagged(spark, sf_dir).select("doc_id", "position", "word", "pos")
+
+
+@query(f"""WITH {_TOK_SQL}, {_BY_SUF} SELECT pos, count(*) AS "count", round(100::DOUBLE * count(*) / (SELECT count(*) FROM x), 6) AS pct FROM x GROUP BY pos""")
+def pos_frequency(spark, sf_dir):
+    return _rounded(frequency.frequency(_suffix_corpus(spark, sf_dir), "pos"), "pct")
+
+
+@query(f"""WITH {_TOK_SQL}, {_BY_SUF} SELECT CASE WHEN pos LIKE 'NN%' THEN 'noun' WHEN pos LIKE 'VB%' OR pos LIKE 'MD%' THEN 'verb' WHEN pos LIKE 'JJ%' THEN 'adj' WHEN pos LIKE 'RB%' THEN 'adv' ELSE 'function' END AS family, count(*) AS n FROM x GROUP BY 1""")
+def pos_families(spark, sf_dir):
+    return _suffix_corpus(spark, sf_dir).select(F.explode("tokens.pos").alias("p")).groupBy(W.pos_family(F.col("p")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_LAYERED = """p AS (SELECT doc_id, path, position, word, {value} AS v FROM {table}),
+q AS (SELECT doc_id, path, list(word ORDER BY position) AS ws, list(v ORDER BY position) AS vs FROM p GROUP BY doc_id, path),
+h AS (SELECT doc_id, path, ws, unnest(list_filter(range(0, len(vs)), lambda i: vs[i + 1] = '{term}')) AS position FROM q)
+SELECT doc_id, path, CAST(position AS INTEGER) AS position, array_to_string(ws[greatest(position - 4, 0) + 1 : position], ' ') AS "left", ws[position + 1] AS hit, array_to_string(ws[position + 2 : position + 5], ' ') AS "right" FROM h"""
+
+
+@query(f"WITH {_TOK_SQL}, {_BY_SUF}, {_LAYERED.format(value='pos', table='x', term='RB')}")
+def kwic_pos(spark, sf_dir):
+    return kwic.kwic(_suffix_corpus(spark, sf_dir), "RB", "pos", 4)
+
+
+@query(f"WITH {_TOK_SQL}, " + _LAYERED.format(value="regexp_replace(lower(word), '(ing|ed|ly|s)$', '')", table="k", term="on"))
+def kwic_lemma(spark, sf_dir):
+    return kwic.kwic(_suffix_corpus(spark, sf_dir), "ON", "lemma", 4)
+
+
+@query(f"""WITH {_TOK_SQL}, {_BY_LEX}, {_BY_SUF},
+y AS (SELECT a.doc_id, a.position, CASE WHEN a.word IS DISTINCT FROM b.word THEN 'word' WHEN a.pos IS DISTINCT FROM b.pos THEN 'pos' WHEN a.lemma IS DISTINCT FROM lower(b.word) THEN 'lemma' ELSE 'match' END AS kind
+  FROM g a JOIN x b ON a.doc_id = b.doc_id AND a.position = b.position)
+SELECT count(*) AS compared, count(*) FILTER (kind = 'match') AS matches, count(*) FILTER (kind = 'word') AS word_errors, count(*) FILTER (kind = 'pos') AS pos_errors, count(*) FILTER (kind = 'lemma') AS lemma_errors,
+round((count(*) FILTER (kind IN ('match', 'lemma')))::DOUBLE / count(*) FILTER (kind IN ('match', 'lemma', 'pos')), 6) AS pos_accuracy FROM y""")
+def tagger_diff(spark, sf_dir):
+    oracle = annotate.tag_by_lexicon(_tokens(spark, sf_dir), _lexicon(spark))
+    subject = _suffix_tagged(spark, sf_dir).withColumn("lemma", F.lower("word"))
+    return _rounded(evaluate.accuracy(evaluate.tagger_diff(oracle, subject)), "pos_accuracy")
+
+
+@query()
+def english_tokenize(spark, sf_dir):
+    return annotate.english_tokens(_docs(spark, sf_dir), ["Mr.", "etc."])
+
+
+@query()
+def viterbi_tag(spark, sf_dir):
+    corpus = annotate.TreeAnnotator(sample_model(), ["Mr.", "etc."]).annotate(_docs(spark, sf_dir))
+    return corpus.select("doc_id", F.posexplode("tokens").alias("position", "t")).select("doc_id", "position", "t.word", "t.pos", "t.lemma", "t.byte_start", "t.byte_end")
+
+
+def sample_model() -> Model:
+    """A small hand-made model: five tags, a lexicon of a few words and one tree."""
+    from ..operators.tagger import AffixTrie
+
+    tags = ["SENT", "DT", "NN", "VB", "NP"]
+    lexicon = {"the": [(1, 1.0, "the")], "of": [(3, 0.3, "of"), (1, 0.7, "of")], ".": [(0, 1.0, ".")], "to": [(3, 0.6, "to"), (1, 0.4, "to")]}
+    records = [("inner", 1, 1), ("leaf", 60.0, [0.05, 0.05, 0.7, 0.1, 0.1]), ("leaf", 40.0, [0.2, 0.3, 0.2, 0.2, 0.1])]
+    trie = AffixTrie({"gni": {3: 0.8, 2: 0.2}, "de": {3: 0.9, 2: 0.1}, "noit": {2: 1.0}, "a": {2: 0.6, 4: 0.4}, "e": {2: 0.7, 3: 0.3}})
+    return Model(tags, lexicon, suffixes=trie, forest=Forest([Forest.from_preorder(records)]))
+
+
+@query("""WITH a AS (SELECT doc_id, '*** START OF THIS PROJECT GUTENBERG EBOOK ***' || chr(10) || text || chr(10) || '*** END OF PROJECT GUTENBERG' || source AS t FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)^.*?\\*\\*\\*\\s*START OF (?:THIS |THE )?PROJECT GUTENBERG[^*]*\\*\\*\\*', ''), '(?is)\\*\\*\\*\\s*END OF (?:THIS |THE )?PROJECT GUTENBERG.*$', ''), '^\\s+|\\s+$', '', 'g') AS text
+FROM a WHERE len(t) >= 500""")
+def boilerplate_strip(spark, sf_dir):
+    docs = _docs(spark, sf_dir).withColumn("text", F.concat(F.lit("*** START OF THIS PROJECT GUTENBERG EBOOK ***\n"), "text", F.lit("\n*** END OF PROJECT GUTENBERG"), "source"))
+    return docs.where(F.length("text") >= 500).select("doc_id", W.strip_boilerplate(F.col("text")).alias("text"))
+
+
+@query("""SELECT c_custkey, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(c_name || ' / ' || c_mktsegment || '!'), '^[^a-z0-9_-]+', ''), '[^a-z0-9_-]+', '-', 'g'), '-+$', ''), ''), 'corpus') AS slug FROM customer""")
+def slugify(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.select("c_custkey", W.slug(F.concat("c_name", F.lit(" / "), "c_mktsegment", F.lit("!"))).alias("slug"))
+
+
+@query("""WITH a AS (SELECT doc_id, unnest(list_transform(string_split_regex(text, '\\s+'), lambda w: lower(regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')))) AS word FROM documents)
+SELECT word, count(*) AS n FROM a WHERE strlen(word) >= 2 AND NOT regexp_full_match(word, '[0-9]+') GROUP BY word""")
+def collocate_words(spark, sf_dir):
+    return _docs(spark, sf_dir).select(F.explode(W.collocate_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT doc_id, CASE WHEN lemma IN ('', '<unknown>') THEN NULL ELSE lemma END AS lemma, pos
+FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 'NN' ELSE NULL END AS pos, CASE WHEN toxic = 1 THEN '<unknown>' ELSE CAST(doc_id AS VARCHAR) END AS lemma FROM labels) WHERE pos IS NOT NULL""")
+def tag_rows_clean(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        "doc_id", F.when(F.col("quality") == 1, "NN").alias("pos"), F.when(F.col("toxic") == 1, "<unknown>").otherwise(F.col("doc_id").cast("string")).alias("lemma")
+    )
+    return clean_tags(rows).select("doc_id", "lemma", "pos")
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' WHEN 'es' THEN 'spanish' END AS language FROM documents")
+def language_names(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", W.language_name(F.col("lang")).alias("language"))
+
+
+@query(f"WITH {_T} SELECT doc_id, len(list_filter(toks, lambda w: lower(w) = 'and')) AS hits, round(1e6 * len(list_filter(toks, lambda w: lower(w) = 'and')) / len(toks), 4) AS per_million FROM t WHERE len(list_filter(toks, lambda w: lower(w) = 'and')) > 0")
+def sql_document_hits(spark, sf_dir):
+    from .sql import register
+
+    register(_corpus(spark, sf_dir), "registered_corpus")
+    return spark.sql("SELECT doc_id, hits, round(per_million, 4) AS per_million FROM registered_corpus_document_hits('and')")
+
+
+@query(_lines("was", 6))
+def sql_kwic(spark, sf_dir):
+    from .sql import register
+
+    register(_corpus(spark, sf_dir), "registered_corpus")
+    return spark.sql("SELECT * FROM registered_corpus_kwic('was', 6)")
+
+
+@query(_lines("in", 7))
+def kwic_persisted(spark, sf_dir):
+    """Through the full corpus table with spans, as a stored corpus would be read."""
+    return Corpus.from_documents(_docs(spark, sf_dir)).kwic("in")
