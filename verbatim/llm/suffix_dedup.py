@@ -43,6 +43,13 @@ def _as(kind: str, x) -> bytes:
     return np.asarray(x).astype(kind).tobytes()
 
 
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def write_blocks(docs: DataFrame, keep: bool) -> DataFrame:
     """Rows packed into blocks, in a table bucketed by block, so that joins on blocks move no text.
 
@@ -58,7 +65,7 @@ def write_blocks(docs: DataFrame, keep: bool) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "__raw", BLOCK_BYTES):
                 ids, raw = part.column("__doc"), [x.as_py() or b"" for x in part.column("__raw")]
-                rest = part.select(others).serialize().to_pybytes() if others else b""
+                rest = _stream(part.select(others)) if others else b""
                 yield _batch(BLOCK_SCHEMA, [[(task << 32) + n], [_as("<i8", ids.fill_null(0))], [_as("u1", ids.is_null())], [_as("<i8", [len(x) for x in raw])], [b"".join(raw)], [rest]])
                 n += 1
 
@@ -321,7 +328,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with their texts less those bytes; half a character that is left over goes too.
 
-    Null texts stay null; otherwise as repeated_bytes.
+    Null texts become empty; otherwise as repeated_bytes.
     """
     marked = repeats(docs, keep=True)
     columns = docs.columns
@@ -331,11 +338,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for block, found, rest in zip(_row_blocks(batch), batch.column("found").to_pylist(), batch.column("rest").to_pylist(), strict=True):
                 texts = [kept.decode("utf-8", "ignore") for _, _, _, kept in _pieces(block, _removed(block, found))]
-                others = pa.ipc.read_record_batch(pa.py_buffer(rest), kept_schema.value)
+                others = pa.ipc.open_stream(rest).read_next_batch() if rest else pa.RecordBatch.from_arrays([], [])
                 own = dict(zip(others.schema.names, others.columns, strict=True)) | {"text": pa.array(texts, pa.string())}
                 yield pa.RecordBatch.from_arrays([own[c] for c in columns], columns)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    kept_schema = docs.sparkSession.sparkContext.broadcast(to_arrow_schema(T.StructType([f for f in docs.schema.fields if f.name != "text"])))
     return marked.mapInArrow(clean, schema)
