@@ -26,16 +26,21 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFr
     Gaps and words alternate, so a word's end is the running sum of their UTF-8 lengths. The sums are
     taken in two levels (chunks of 64, then inside a chunk), in one projection and without a shuffle.
     """
-    pair = f"(?s)(.*?)({WORD_RE})"
-    step = (
-        df.withColumn("__w", F.regexp_extract_all(F.col(text), F.lit(pair), F.lit(2)))
-        .withColumn("__l", F.zip_with(F.regexp_extract_all(F.col(text), F.lit(pair), F.lit(1)), "__w", lambda g, w: F.octet_length(g) + F.octet_length(w)))
-        .withColumn("__c", F.expr(f"if(size(__l) = 0, array(), transform(sequence(0, (size(__l) - 1) div {CHUNK}), k -> aggregate(slice(__l, k * {CHUNK} + 1, {CHUNK}), 0, (a, x) -> a + x)))"))
-        .withColumn("__s", F.expr("transform(__c, (x, k) -> aggregate(slice(__c, 1, k), 0, (a, y) -> a + y))"))
-    )
-    end = f"get(__s, cast(i div {CHUNK} as int)) + aggregate(slice(__l, cast(i div {CHUNK} as int) * {CHUNK} + 1, i % {CHUNK} + 1), 0, (a, x) -> a + x)"
-    tokens = f"transform(__w, (w, i) -> named_struct('word', w, 'lemma', cast(null as string), 'pos', cast(null as string), 'byte_start', {end} - octet_length(w), 'byte_end', {end}))"
-    return step.withColumn(out, F.expr(f"filter({tokens}, t -> t.word rlike '{ALNUM_RE.replace(chr(92), chr(92) * 2)}')")).drop("__w", "__l", "__c", "__s")
+    quoted = f"(?s)(.*?)({WORD_RE})".replace("\\", "\\\\").replace("'", "\\'")
+    chunk = f"cast(i div {CHUNK} as int)"
+    end = f"get(s, {chunk}) + aggregate(slice(l, {chunk} * {CHUNK} + 1, i % {CHUNK} + 1), 0, (a, x) -> a + x)"
+    token = _let(end, "e", "named_struct('word', w, 'lemma', cast(null as string), 'pos', cast(null as string), 'byte_start', e - octet_length(w), 'byte_end', e)")
+    chunks = f"if(size(l) = 0, cast(array() as array<int>), transform(sequence(0, (size(l) - 1) div {CHUNK}), k -> aggregate(slice(l, cast(k as int) * {CHUNK} + 1, {CHUNK}), 0, (a, x) -> a + x)))"
+    starts = "transform(c, (x, k) -> aggregate(slice(c, 1, k), 0, (a, y) -> a + y))"
+    tokens = _let(chunks, "c", _let(starts, "s", f"transform(p.w, (w, i) -> {token})"))
+    tokens = _let("zip_with(p.g, p.w, (g, w) -> octet_length(g) + octet_length(w))", "l", tokens)
+    tokens = _let(f"named_struct('g', regexp_extract_all({text}, '{quoted}', 1), 'w', regexp_extract_all({text}, '{quoted}', 2))", "p", tokens)
+    return df.withColumn(out, F.filter(F.expr(tokens), lambda t: t["word"].rlike(ALNUM_RE)))
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """Binds a value to a name, so that it is computed once however often the body has it."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
 def collocate_words(text: Column) -> Column:

@@ -29,7 +29,7 @@ def windows(corpus: DataFrame, term: str, layer: str = "word", left: int = 5, ri
         F.expr(f"slice(__w, position + 2, {reach})").alias("r"),
     ).select(*[F.filter(F.transform(c, trimmed_lower), is_collocate).alias(c) for c in ("l", "r")])
     cut = sides.select(F.expr(f"slice(l, greatest(size(l) - {left}, 0) + 1, {left})").alias("l"), F.expr(f"slice(r, 1, {right})").alias("r"))
-    tagged = F.concat(*[F.transform(c, lambda w, s=c: F.struct(F.lit(s).alias("side"), w.alias("word"))) for c in ("l", "r")])
+    tagged = F.concat(*[F.expr(f"transform({c}, w -> named_struct('side', '{c}', 'word', w))") for c in ("l", "r")])
     return cut.select(F.explode(tagged).alias("x")).select("x.side", "x.word")
 
 

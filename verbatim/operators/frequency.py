@@ -54,7 +54,7 @@ def stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def vocabulary(corpus: DataFrame, approximate: bool = False) -> DataFrame:
     """One row: exact numbers of tokens and of distinct lower-cased words."""
-    w = corpus.select(F.lower(F.explode("tokens.word")).alias("w"))
+    w = corpus.select(F.explode("tokens.word").alias("w")).select(F.lower("w").alias("w"))
     return w.agg(F.count("w").alias("tokens"), (F.approx_count_distinct("w") if approximate else F.count_distinct("w")).alias("types"))
 
 
