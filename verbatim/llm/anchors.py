@@ -44,12 +44,24 @@ def _sliding(x: np.ndarray, n: int, op) -> np.ndarray:
     return op(x[: len(x) - (n - reach)], x[n - reach :]) if reach < n else x
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, step: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """Places of all anchors and their hashes: the places whose hash is the least of some PLACES in a row.
 
     Equal least hashes are all taken. So any two equal strings of LENGTH bytes have an anchor at the
-    same place in both.
+    same place in both. Worked on in overlapping stretches that a processor's cache holds.
     """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    if len(raw) >= LENGTH:
+        for start in range(0, len(raw), step):
+            low = max(0, start - PLACES + 1)
+            at, h = _stretch(raw[low : start + step + LENGTH - 1])
+            at += low
+            own = (at >= start) & (at < start + step)
+            found.append((at[own], h[own]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([h for _, h in found])
+
+
+def _stretch(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(raw) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = hashes(raw)

@@ -26,7 +26,7 @@ from .losertree import Run, merge
 
 BEFORE = PLACES - 1
 #: Bytes of text in a block, the unit that is stored, sorted and answered.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 BLOCK_SCHEMA = "block_id long, doc_ids binary, nulls binary, sizes binary, raw binary, rest binary"
 RUN_SCHEMA = "part int, block_id long, lcps binary, sizes binary, tails binary, left_sizes binary, lefts binary, docs binary, places binary"
 ANSWER_SCHEMA = "block_id long, starts binary, ends binary"
@@ -43,10 +43,10 @@ def _as(kind: str, x) -> bytes:
     return np.asarray(x).astype(kind).tobytes()
 
 
-def _stream(batch: pa.RecordBatch) -> bytes:
+def _stream(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
@@ -61,13 +61,25 @@ def write_blocks(docs: DataFrame, keep: bool) -> DataFrame:
     frame = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").cast("string").cast("binary").alias("__raw"), *[F.col(f"`{c}`") for c in others])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
+        task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def block() -> pa.RecordBatch:
+            nonlocal n, held, size
+            table = pa.Table.from_batches(held)
+            ids, raw = table.column("__doc"), [x or b"" for x in table.column("__raw").to_pylist()]
+            rest = _stream(table.select(others)) if others else b""
+            n, held, size = n + 1, [], 0
+            return _batch(BLOCK_SCHEMA, [[(task << 32) + n], [_as("<i8", ids.fill_null(0))], [_as("u1", ids.is_null())], [_as("<i8", [len(x) for x in raw])], [b"".join(raw)], [rest]])
+
         for batch in batches:
             for part in slices(batch, "__raw", BLOCK_BYTES):
-                ids, raw = part.column("__doc"), [x.as_py() or b"" for x in part.column("__raw")]
-                rest = _stream(part.select(others)) if others else b""
-                yield _batch(BLOCK_SCHEMA, [[(task << 32) + n], [_as("<i8", ids.fill_null(0))], [_as("u1", ids.is_null())], [_as("<i8", [len(x) for x in raw])], [b"".join(raw)], [rest]])
-                n += 1
+                own = sum(len(x.as_buffer()) for x in part.column("__raw") if x.is_valid)
+                if held and size + own > BLOCK_BYTES:
+                    yield block()
+                held.append(part)
+                size += own
+        if held:
+            yield block()
 
     name = f"verbatim_blocks_{uuid.uuid4().hex}"
     writer = frame.mapInArrow(pack, BLOCK_SCHEMA).write.option("compression", "zstd").option("path", work_path(spark, "blocks"))
@@ -108,11 +120,12 @@ def shared_keys(blocks: DataFrame, parts: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block_id, block in zip(batch.column("block_id").to_pylist(), _row_blocks(batch), strict=True):
-                keys = np.unique(block.anchors(parts)[2])
+                keys = np.sort(block.anchors(parts)[2])
+                keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
                 own = (keys >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(own, prepend=-1))
                 low = keys.astype("<u4")  # the lower half
-                rows = [low[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(low)], strict=True)]
+                rows = [low[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(low)], strict=False)]
                 yield _batch("part int, block_id long, keys binary", [own[cuts], [block_id] * len(rows), rows])
 
     def meet(table: pa.Table) -> pa.Table:
@@ -178,7 +191,7 @@ def _runs(block_id: int, block: Block, shared, parts: int) -> Iterator[pa.Record
     entries.sort()
     by_part = np.array([e[0] for e in entries], np.int64)
     cuts = np.flatnonzero(np.diff(by_part, prepend=-1)).tolist()
-    for a, b in zip(cuts, [*cuts[1:], len(entries)], strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(entries)], strict=False):  # nothing if there are no entries
         own = entries[a:b]
         rights = [e[1] for e in own]
         size = np.fromiter(map(len, rights), np.int64, len(own))
@@ -218,7 +231,7 @@ def _settle_group(group: list[tuple], answers: Answers) -> None:
     least: dict[tuple[bytes, bytes], int] = {}
     for right, left, doc, _, _ in group:
         key = (right, left)
-        if key not in least or doc < least[key]:
+        if doc < least.get(key, doc + 1):
             least[key] = doc
     windows: dict[tuple[bytes, bytes], tuple[int, list[bytes]]] = {}
     first: dict[bytes, int] = {}
@@ -338,8 +351,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for block, found, rest in zip(_row_blocks(batch), batch.column("found").to_pylist(), batch.column("rest").to_pylist(), strict=True):
                 texts = [kept.decode("utf-8", "ignore") for _, _, _, kept in _pieces(block, _removed(block, found))]
-                others = pa.ipc.open_stream(rest).read_next_batch() if rest else pa.RecordBatch.from_arrays([], [])
-                own = dict(zip(others.schema.names, others.columns, strict=True)) | {"text": pa.array(texts, pa.string())}
+                own = {"text": pa.array(texts, pa.string())}
+                if rest:
+                    others = pa.ipc.open_stream(rest).read_all()
+                    own |= {c: others.column(c).combine_chunks() for c in others.column_names}
                 yield pa.RecordBatch.from_arrays([own[c] for c in columns], columns)
 
     return marked.mapInArrow(clean, schema)
