@@ -91,3 +91,21 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "b.txt").write_text("the dog")
     run()
     assert Corpus.open(spark, str(tmp_path / "out")).kwic("the").count() == 2
+
+
+def test_command_line(spark, root):
+    from verbatim.__main__ import main
+
+    (root / "texts").mkdir()
+    (root / "texts" / "a.txt").write_text("the cat sat")
+    (root / "texts" / "b.txt").write_text("see the dog")
+    assert main(["index", str(root / "texts")])[0].startswith("indexed texts in")
+    out = main(["kwic", "texts", "the", "--context", "1"])
+    assert out[0] == "a.txt" + " " * 15 + "       [the]  cat" and out[1] == "b.txt" + " " * 15 + "  see  [the]  dog" and out[2].startswith("2 hit(s) in")
+    assert main(["collocates", "texts", "the"])[0].split() == ["cat", "0", "1", "1"]
+    assert main(["frequency", "texts", "--limit", "1"])[0].split()[:2] == ["the", "2"]
+    assert main(["list"])[0].startswith("texts ")
+    with pytest.raises(SystemExit):
+        main(["index", str(root / "texts"), "--language", "xx"])
+    with pytest.raises(Exception):
+        main(["kwic", str(root / "nothing"), "the"])

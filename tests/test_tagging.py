@@ -111,3 +111,15 @@ def test_diff(spark):
     r = evaluate.accuracy(evaluate.tagger_diff(a, b)).first()
     assert (r["compared"], r["matches"], r["pos_errors"], r["lemma_errors"], r["word_errors"]) == (3, 1, 1, 1, 0)
     assert r["pos_accuracy"] == pytest.approx(2 / 3)
+
+
+def test_model_from_tables(spark):
+    from verbatim.operators.tagger import model_from_tables
+
+    tags = spark.createDataFrame([(0, "SENT"), (1, "DT"), (2, "NN")], "tag_id int, tag string")
+    lexicon = spark.createDataFrame([("the", 1, 1.0, "the"), (".", 0, 1.0, ".")], "word string, tag_id int, prob double, lemma string")
+    affixes = spark.createDataFrame([("suffix", "g", 2, 1.0)], "kind string, affix string, tag_id int, prob double")
+    tree = spark.createDataFrame([(0, 0, 1, 1, 1, 2, None, None), (0, 1, None, None, None, None, 2.0, [0.1, 0.1, 0.8]), (0, 2, None, None, None, None, 1.0, [0.4, 0.3, 0.3])], "tree int, node int, ctx int, tag int, yes int, no int, weight double, probs array<double>")
+    m = model_from_tables(tags, lexicon, affixes, tree)
+    assert m.tag(["the", "dog", "."]) == [("DT", "the"), ("NN", None), ("SENT", ".")]
+    assert model_from_tables(tags, lexicon).tag(["the"]) == [("DT", "the")]

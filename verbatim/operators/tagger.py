@@ -189,6 +189,32 @@ class Model:
         return [(self.tags[t], lemma) for t, _, lemma in chosen]
 
 
+def model_from_tables(tags, lexicon, affixes=None, tree=None, **more) -> Model:
+    """A model from its tables, whose size is that of a dictionary and so fits the driver.
+
+    tags(tag_id, tag); lexicon(word, tag_id, prob, lemma); affixes(kind "suffix" or "prefix", affix as
+    the trie walks it, tag_id, prob); tree(tree, node, ctx, tag, yes, no, weight, probs), probs null for
+    inner nodes.
+    """
+    names = [r["tag"] for r in sorted(tags.collect(), key=lambda r: r["tag_id"])]
+    entries: dict[str, list[tuple[int, float, str | None]]] = {}
+    for r in lexicon.orderBy("word", "tag_id").collect():
+        entries.setdefault(r["word"], []).append((r["tag_id"], r["prob"], r["lemma"]))
+    tries: dict[str, dict[str, dict[int, float]]] = {}
+    for r in affixes.collect() if affixes is not None else ():
+        tries.setdefault(r["kind"], {}).setdefault(r["affix"], {})[r["tag_id"]] = r["prob"]
+    forest = None
+    if tree is not None:
+        trees: dict[int, list[Node]] = {}
+        for r in tree.orderBy("tree", "node").collect():
+            probs = None if r["probs"] is None else np.asarray(r["probs"], float)
+            trees.setdefault(r["tree"], []).append(Node(r["ctx"] or 0, r["tag"] or 0, r["yes"] or 0, r["no"] or 0, r["weight"] or 0.0, probs))
+        forest = Forest([trees[k] for k in sorted(trees)])
+    load = lambda kind: AffixTrie(tries[kind]) if kind in tries else None
+    default = forest.marginal() if forest else None
+    return Model(names, entries, load("suffix"), load("prefix"), forest, default, **more)
+
+
 def last_argmax(x) -> int:
     x = np.asarray(x)
     return int(len(x) - 1 - np.argmax(x[::-1]))

@@ -28,7 +28,9 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """A table of a few row groups is dealt to all cores first; one of many is read as it is."""
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return from_table(docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs)
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
