@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -99,11 +101,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = EPOCHS, rate: float = RATE, margin: float = 0.5) -> LanguageModel:
+def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = EPOCHS, rate: float = RATE, margin: float = 0.8) -> LanguageModel:
     """Stochastic gradient descent, one document a step; every fifth document is kept for calibration.
 
-    The temperature is the one with the least log loss on the kept documents. The threshold is half of
-    the lowest score of a kept document that is told right, and one half of an even guess at least.
+    The temperature is the one with the least log loss on the kept documents. Scores under the
+    threshold are rejected: `margin` of the lowest score of a kept document that is told right, one
+    half at most.
     """
     names = sorted(set(langs))
     label = {x: i for i, x in enumerate(names)}
@@ -138,56 +141,60 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = EPOCH
         p = _softmax(logits / model.temperature)
         right = p.argmax(1) == y[kept]
         if right.any():
-            model.threshold = float(max(margin / len(names), margin * p.max(1)[right].min()))
+            model.threshold = float(min(0.5, margin * p.max(1)[right].min()))
     return model
 
 
-class Scorer(dict):
-    """Word -> (number of subwords, their table rows' sum), kept for the words seen last."""
+class Scorer:
+    """Number of subwords and sum of their table rows for each word, kept for the words seen last."""
 
     def __init__(self, model: LanguageModel):
-        super().__init__()
         self.model = model
-        self.sums = np.zeros((0, len(model.langs) + 1))
+        self._clear()
 
-    def add(self, words: set[str]) -> None:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-            self.sums = self.sums[:0]
-        new = [w for w in words if w not in self]
+    def _clear(self) -> None:
+        self.index = defaultdict(count().__next__)  # a new word gets the next number
+        self.sums = np.zeros((1024, len(self.model.langs) + 1))
+        self.known = 0
+
+    def _learn(self) -> None:
+        new = list(islice(self.index, self.known, None))
         if not new:
             return
-        buckets, sizes = subwords(new)
-        starts = np.cumsum(sizes) - sizes
-        own = np.add.reduceat(self.model.table[buckets], starts, axis=0)
-        base = len(self.sums)
-        self.sums = np.concatenate([self.sums, np.column_stack([sizes, own])])
-        self.update(zip(new, range(base, base + len(new)), strict=True))
+        if len(self.index) > len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros((max(len(self.sums), len(new)), self.sums.shape[1]))])
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            buckets, sizes = subwords(part)
+            own = self.sums[self.known : self.known + len(part)]
+            own[:, 0] = sizes
+            own[:, 1:] = np.add.reduceat(self.model.table[buckets], np.cumsum(sizes) - sizes, axis=0)
+            self.known += len(part)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each whole text and its calibrated probability."""
-        langs, scores = [], np.zeros(len(texts))
+        if len(self.index) > CACHE_WORDS:
+            self._clear()
+        langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        get, parts, owners = self.index.__getitem__, [], []
         for i, text in enumerate(texts):
-            if not self.model.langs or not has_letter(text):
-                langs.append(UNKNOWN)
-                continue
-            total = np.zeros(len(self.model.langs) + 1)
-            for words in text_words(text):
-                if not words:
-                    continue
-                if len(self) > CACHE_WORDS:
-                    self.clear()
-                    self.sums = self.sums[:0]
-                try:
-                    at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-                except KeyError:
-                    self.add(set(words))
-                    at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-                total += self.sums[at].sum(axis=0)
-            p = _softmax((total[1:] / max(total[0], 1.0) + self.model.bias) / self.model.temperature)
-            k = int(p.argmax())
-            langs.append(self.model.langs[k])
-            scores[i] = p[k]
+            if self.model.langs and has_letter(text):
+                for words in text_words(text):
+                    if words:
+                        parts.append(np.fromiter(map(get, words), np.int64, len(words)))
+                        owners.append(i)
+        self._learn()
+        if not parts:
+            return langs, scores
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        total = np.add.reduceat(self.sums[np.concatenate(parts)], np.cumsum(sizes) - sizes, axis=0)
+        rows, first = np.unique(np.array(owners), return_index=True)
+        total = np.add.reduceat(total, first, axis=0)
+        p = _softmax((total[:, 1:] / np.maximum(total[:, :1], 1.0) + self.model.bias) / self.model.temperature)
+        best = p.argmax(1)
+        scores[rows] = p[np.arange(len(rows)), best]
+        for i, k in zip(rows.tolist(), best.tolist(), strict=True):
+            langs[i] = self.model.langs[k]
         return langs, scores
 
 
