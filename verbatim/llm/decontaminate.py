@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,11 +96,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     shared = [context.broadcast(x) for x in _item_groups(benchmark)]
 
     @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
-        found = [(windows_of(b.value, window)) for b in shared]
-        return pd.Series([not _contaminated(words_of(t.encode() if t is not None else None), found, share) for t in texts], dtype=bool)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found = [windows_of(b.value, window) for b in shared]
+        for texts in batches:
+            yield pd.Series([not _contaminated(words_of(t.encode() if isinstance(t, str) else None), found, share) for t in texts], dtype=bool)
 
     small_batches(docs.sparkSession)
     return docs.where(clean(F.col("text")))
