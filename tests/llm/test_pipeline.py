@@ -49,3 +49,18 @@ def test_registered_queries_run(spark):
     for name, f in QUERIES.items():
         assert f(spark, "/root/testdata/sf0.001").count() > 0, name
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from verbatim.llm.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    for name, sql in SQL.items():
+        want = con.sql(sql)
+        got = QUERIES[name](spark, "/root/testdata/sf0.001").select(*want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()), name

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, html, langid, packing, sharding, simhash, suffix_dedup, token_counts, token_files
+from . import ann, decontaminate, html, langid, oracles, packing, sharding, simhash, suffix_dedup, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +58,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_simhash, op2_token_files, op3_html, op4_packing, op5_sharding, op6_nearest, op7_suffix_dedup, op8_decontaminate, op9_language, op10_token_counts)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_suffix_dedup": oracles.SUFFIX_DEDUP, "op8_decontaminate": oracles.DECONTAMINATE}
