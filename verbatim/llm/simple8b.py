@@ -46,80 +46,96 @@ _SHORT = _long_bit_lengths(np.arange(1 << 17))
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, word offsets of the blocks (one more than blocks) and the words that are escapes."""
     n, pad = len(ids), int(COUNTS.max())
-    blocks = -(-n // block)
+    blocks, row = -(-n // block), block + pad
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint32), np.zeros(0, np.uint32)
-    width = np.zeros((blocks, block + pad), np.uint8)
-    flat = np.zeros(blocks * block, np.uint8)
-    flat[:n] = _bit_lengths(ids)
-    width[:, :block] = flat.reshape(blocks, block)
+    values = np.zeros((blocks, row), np.uint64)  # a block a row, zeros behind it
+    full = n // block
+    values[:full, :block] = ids[: full * block].reshape(full, block)
+    if full < blocks:
+        values[full, : n - full * block] = ids[full * block :]
+    width = np.zeros((blocks, row), np.uint8)
+    width[:full, :block] = (bits := _bit_lengths(ids))[: full * block].reshape(full, block)
+    if full < blocks:
+        width[full, : n - full * block] = bits[full * block :]
     most, reach = {1: width}, 1  # largest width among so many ids from each place, by doubling
-    while reach * 2 <= pad and most[reach][: max(1, blocks - 1), :block].min() * reach < 60:  # else no longer run fits
+    while reach * 2 <= pad and most[reach][: max(1, full), :block].min() * reach < 60:  # else no longer run fits
         a = most[reach].copy()
-        a[:, :-reach] = np.maximum(a[:, :-reach], most[reach][:, reach:])
+        np.maximum(a[:, :-reach], most[reach][:, reach:], out=a[:, :-reach])
         most[reach := reach * 2] = a
-    selector = np.zeros((blocks, block), np.uint8)
+    selector = np.zeros((blocks, row), np.uint8)
+    head = selector[:, :block]
     for s in range(15, 0, -1):  # ever more ids in a word; the last that fits wins
         count = int(COUNTS[s])
         p = 1 << (count.bit_length() - 1)
         if p not in most:
             break
-        wide = np.maximum(most[p][:, :block], most[p][:, count - p : count - p + block])
-        np.copyto(selector, np.uint8(s), where=wide <= WIDTHS[s])
-    selector = selector.ravel()[:n]
-    follow = np.minimum(np.arange(n) + COUNTS[selector], (np.arange(n) // block + 1) * block).tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at = follow[at]
+        wide = most[p][:, :block]
+        if count > p:
+            wide = np.maximum(wide, most[p][:, count - p : count - p + block])
+        np.copyto(head, np.uint8(s), where=wide <= WIDTHS[s])
+    step = COUNTS.astype(np.uint8)[selector]
+    reach = min(pad, block)
+    edge = step[:, block - reach : block]
+    np.minimum(edge, np.arange(reach, 0, -1, dtype=np.uint8), out=edge)  # a word ends with its block
+    jump, starts, counts = step.tobytes(), [], []
+    put = starts.append
+    for k in range(blocks):
+        at, end = k * row, k * row + min(block, n - k * block)
+        counts.append(len(starts))
+        while at < end:
+            put(at)
+            at += jump[at]
     start = np.array(starts)
-    chosen = selector[start]
-    place = np.cumsum(1 + (chosen == 0)) - (1 + (chosen == 0))
-    total = int(place[-1] + 1 + (chosen[-1] == 0))
+    chosen = selector.ravel()[start]
+    length = 1 + (chosen == 0)
+    place = np.cumsum(length) - length
+    total = int(place[-1] + length[-1])
     words = np.zeros(total, np.uint64)
-    padded = np.concatenate([ids.astype(np.uint64), np.zeros(pad, np.uint64)])
-    edge = np.minimum((start // block + 1) * block, n)
+    flat = values.ravel()
     for s in range(1, 16):
         own = np.flatnonzero(chosen == s)
         if not own.size:
             continue
-        word = np.full(own.size, s, np.uint64) << np.uint64(60)
+        word = np.full(own.size, s << 60, np.uint64)
         if WIDTHS[s]:
+            at = start[own]
             for k in range(int(COUNTS[s])):
-                value = np.where(start[own] + k < edge[own], padded[start[own] + k], np.uint64(0))
-                word |= value << np.uint64(k * int(WIDTHS[s]))
+                word |= flat[at + k] << np.uint64(k * int(WIDTHS[s]))
         words[place[own]] = word
     escape = np.flatnonzero(chosen == 0)
-    words[place[escape] + 1] = padded[start[escape]]
-    first = np.searchsorted(start, np.arange(blocks) * block)
-    return words, np.append(place[first], total).astype(np.uint32), place[escape].astype(np.uint32)
+    words[place[escape] + 1] = flat[start[escape]]
+    return words, np.append(place[np.array(counts)], total).astype(np.uint32), place[escape].astype(np.uint32)
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
     """The ids again; all words of one selector are decoded at once."""
     if not n:
         return np.zeros(0, np.uint64)
-    chosen = (words >> np.uint64(60)).astype(np.int64)
+    pad = int(COUNTS.max())
+    blocks, row = len(offsets) - 1, block + pad
+    chosen = (words >> np.uint64(60)).astype(np.uint8)
     raw = escapes.astype(np.int64) + 1
     counts = COUNTS[chosen]
     counts[raw] = 0
+    chosen[raw] = 1  # passed over below
+    chosen[raw - 1] = 1
     before = np.cumsum(counts) - counts
-    of = np.searchsorted(offsets, np.arange(len(words)), "right") - 1
-    at = before - before[offsets[:-1].astype(np.int64)][of] + of * block
-    edge = np.minimum((of + 1) * block, n)
-    out = np.zeros(n, np.uint64)
-    live = counts > 0
+    first = offsets[:-1].astype(np.int64)
+    at = before + np.repeat(np.arange(blocks) * row - before[first], np.diff(offsets.astype(np.int64)))
+    wide = WIDTHS[chosen].max(initial=0) > 30
+    out = np.zeros(blocks * row, np.uint64 if wide or len(raw) else np.uint32)
     for s in range(2, 16):  # selector 1 holds zeros only
-        own = np.flatnonzero((chosen == s) & live)
+        own = np.flatnonzero(chosen == s)
         if not own.size:
             continue
         width, mask = int(WIDTHS[s]), np.uint64((1 << int(WIDTHS[s])) - 1)
-        for k in range(int(COUNTS[s])):
-            where = at[own] + k
-            inside = where < edge[own]
-            out[where[inside]] = (words[own[inside]] >> np.uint64(k * width)) & mask
+        where, word = at[own], words[own]
+        for k in range(int(COUNTS[s])):  # what lies behind a block's end falls into its padding
+            out[where + k] = (word & mask).astype(out.dtype)
+            word >>= np.uint64(width)
     out[at[raw - 1]] = words[raw]
-    return out
+    return out.reshape(blocks, row)[:, :block].ravel()[:n]
 
 
 def write_image(docs: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:

@@ -46,11 +46,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
 
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, counts = enc.encode(part.column("text").to_pylist(), end_id)
+                coded = enc.encode(part.column("text").to_pylist(), end_id)
+                ids = np.frombuffer(b"".join(coded), "<u4")
                 table = np.zeros(part.num_rows, DOC)
                 table["doc_id"] = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
                 table["null"] = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-                table["n"] = counts
+                table["n"] = [len(x) // 4 for x in coded]
                 held.append((table, ids))
                 if sum(len(x) for _, x in held) >= image_ids:
                     yield image()
@@ -80,7 +81,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 docs, ids = read_image(image.as_buffer())
                 ends = np.cumsum(docs["n"].astype(np.int64))
                 starts = ends - docs["n"]
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs["doc_id"], mask=docs["null"] > 0), pa.array(starts + start), pa.array(docs["n"].astype(np.int64)), pa.array(crc, pa.int64())],

@@ -3,72 +3,88 @@
 from __future__ import annotations
 
 import os
-from collections import defaultdict
+from array import array
 from functools import lru_cache
-from itertools import count, islice
+from struct import pack
 
 import numpy as np
 import public_tokenizers
 
 #: Units whose ids a worker keeps; when there are more it starts anew, so its memory is bounded.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 1_600_000
 #: Marks that may stand behind a word: the pre-tokenizers cut between a letter and these.
 MARKS = ",.;:!?"
 #: The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order.
 BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
-class UnitEncoder:
-    """tokenizers' ids of whole texts, from the ids of their units.
+class UnitEncoder(dict):
+    """tokenizers' ids of whole texts, from the ids of their units: unit -> ids as little-endian 32-bit bytes.
 
     A unit is what stands between two single spaces or line ends. Both tokenizer kinds cut every text
     there before they merge: the byte-level one puts the space at the head of the next piece and makes
     a piece of the line end, the word one drops both. A text with more white space beside such a place
-    is encoded as a whole by the byte-level one. In the table of units a leading space marks the head
-    of a text and a leading line end a unit after one.
-    Special tokens' strings in a text are ordinary text.
+    is encoded as a whole by the byte-level one. In the table a leading space marks the head of a text
+    and a leading line end a unit after one. Special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, file: str, cache_units: int = CACHE_UNITS):
+    def __init__(self, file: str, most: int = CACHE_UNITS):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model.tokenize
         self.spaces = file.startswith("byte_")
-        self.cache_units = cache_units
+        self.lead = "\u0120" if self.spaces else ""
+        self.most, self.odd = most, False
         self.tails: dict[str, list[int]] = {}
-        self._clear()
 
-    def _clear(self) -> None:
-        self.units, self.whole = defaultdict(count().__next__), np.zeros(0, bool)  # a new unit gets the next number
-        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    def __missing__(self, unit: str) -> bytes:
+        core = unit.rstrip(MARKS)
+        if core.isalpha():  # a word and marks, by far the most
+            if len(core) < len(unit):
+                self[unit] = out = self[core] + self._tail_bytes(unit[len(core) :])
+                return out
+            piece = core if core.isascii() and self.spaces else self._piece(core)
+            if piece is not None:
+                self[unit] = out = array("I", [t.id for t in self.model(self.lead + piece)]).tobytes()
+                return out
+        if self.spaces:
+            bare = unit[1:] if unit[:1] in (" ", "\n") else unit
+            if not bare or bare[0].isspace() or bare[-1].isspace():
+                self.odd = True  # the text must be encoded as a whole
+                return b""
+        self[unit] = out = array("I", self._unit(unit)).tobytes()
+        return out
+
+    def _tail_bytes(self, text: str) -> bytes:
+        return array("I", self._tail(text)).tobytes()
 
     def _piece(self, core: str) -> str | None:
         """A run of letters as the library's pre-tokenizer would hand it to the model; None where that takes more than a byte table."""
-        if self.spaces:
-            return core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_CHARS)
-        if not core.isascii():
+        if core.isascii():
+            return core if self.spaces else core.lower()
+        if not self.spaces:
             try:
                 core.encode("latin-1")  # below the first composed letters: NFC changes nothing
             except UnicodeEncodeError:
                 return None
-        core = core.lower()
-        return core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_CHARS)
+            core = core.lower()
+        return core.encode().decode("latin-1").translate(BYTE_CHARS)
 
     def _unit(self, unit: str) -> list[int]:
-        """Ids of one unit: the library's model on the letters and its whole pipeline on all else."""
-        head, body = "", unit
-        if self.spaces:
-            head = unit[:1] if unit[:1] in (" ", "\n") else ""
-            body = unit[len(head) :]
+        """Ids of a marked or uncommon unit: the library's model on letters and its whole pipeline on all else."""
+        head = unit[:1] if self.spaces and unit[:1] in (" ", "\n") else ""
+        body = unit[len(head) :]
         core = body.rstrip(MARKS)
         piece = self._piece(core) if core.isalpha() else None
         if piece is None:
             return self._whole(body if head == " " else f"\n{body}" if head else f" {body}" if self.spaces else body)
-        if self.spaces and not head:
-            piece = f"\u0120{piece}"
-        ids = [t.id for t in self.tokenizer.model.tokenize(piece)]
+        if not head:
+            piece = self.lead + piece
+        ids = [t.id for t in self.model(piece)]
         if head == "\n":
             ids = self._tail("\n") + ids
         return ids + self._tail(body[len(core) :]) if len(core) < len(body) else ids
@@ -84,65 +100,28 @@ class UnitEncoder:
             self.tails[text] = self._whole(text)
         return self.tails[text]
 
-    def _learn(self) -> None:
-        """Ids of the units that came in since the last call."""
-        known = len(self.ends) - 1
-        new = list(islice(self.units, known, None))
-        if not new:
-            return
-        whole, sizes, flat = np.zeros(len(new), bool), np.zeros(len(new), np.int64), []
-        lead, model, tails = "\u0120" if self.spaces else "", self.tokenizer.model.tokenize, self.tails
-        for k, unit in enumerate(new):
-            core = unit.rstrip(MARKS)
-            piece = self._piece(core) if core.isalpha() else None
-            if piece is not None:  # a word and marks, by far the most
-                ids = [t.id for t in model(lead + piece)]
-                if len(core) < len(unit):
-                    tail = unit[len(core) :]
-                    ids += tails[tail] if tail in tails else self._tail(tail)
-            else:
-                if self.spaces:
-                    bare = unit[1:] if unit[:1] in (" ", "\n") else unit
-                    whole[k] = not bare or bare[0].isspace() or bare[-1].isspace()
-                ids = self._unit(unit)
-            flat += ids
-            sizes[k] = len(ids)
-        self.whole = np.concatenate([self.whole, whole])
-        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, text after text with `end_id` behind each, and the number of each text's ids."""
-        if len(self.units) > self.cache_units:
-            self._clear()
-        get, units, counts = self.units.__getitem__, [], []
+    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        """Each text's ids with `end_id` behind them, as little-endian 32-bit bytes."""
+        get, end, out = self.__getitem__, pack("<I", end_id), []
         for text in texts:
             if not text:
-                own = []
-            elif self.spaces:
-                own = text.replace("\n", " \n").split(" ")
-                own[0] = f" {own[0]}"
+                out.append(end)
+                continue
+            if self.spaces:
+                units = text.replace("\n", " \n").split(" ")
+                units[0] = f" {units[0]}"
             else:
-                own = text.replace("\n", " ").split(" ")
-            units += own
-            counts.append(len(own))
-        codes = np.fromiter(map(get, units), np.int64, len(units))
-        del units
-        self._learn()
-        ends = np.cumsum(np.array(counts, np.int64))  # of the texts, in units
-        sizes = np.diff(self.ends)[codes]
-        sums = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(self.ends[:-1][codes] - sums[:-1], sizes) + np.arange(sums[-1])]
-        cuts = sums[ends]
-        own = np.diff(cuts, prepend=0)
-        if self.spaces and (odd := np.flatnonzero(self.whole[codes])).size:
-            parts = np.split(ids, cuts[:-1])
-            for k in np.unique(np.searchsorted(ends, odd, "right")).tolist():
-                parts[k] = np.array(self._whole(texts[k]), np.uint32)
-                own[k] = len(parts[k])
-            ids = np.concatenate(parts)
-            cuts = np.cumsum(own)
-        return np.insert(ids, cuts, np.uint32(end_id)), own + 1
+                units = text.replace("\n", " ").split(" ")
+            self.odd = False
+            units.append(None)
+            self[None] = end
+            ids = b"".join(map(get, units))
+            if self.odd:
+                ids = np.array([*self._whole(text), end_id], "<u4").tobytes()
+            out.append(ids)
+            if len(self) > self.most:
+                self.clear()
+        return out
 
 
 @lru_cache(maxsize=2)
