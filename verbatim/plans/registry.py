@@ -259,12 +259,12 @@ def _suffix_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _suffix_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same tags inside token arrays, by a lookup in a literal map: no shuffle."""
     table = F.create_map(*[F.lit(x) for pair in SUFFIXES for x in pair])
-    longest = F.expr("transform(sequence(6, 1), n -> right(lower(w), n))")
+    ending = "^.*?(" + "|".join(s for s, _ in SUFFIXES) + ")$"  # the shortest start leaves the longest suffix
 
     def token(w):
-        ends = F.transform(F.sequence(F.lit(6), F.lit(1)), lambda n: F.when(F.length(w) >= n, F.try_element_at(table, F.lower(F.right(w, n)))))
-        lemma = F.regexp_replace(F.lower(w), "(ing|ed|ly|s)$", "")
-        return F.struct(w.alias("word"), lemma.alias("lemma"), F.coalesce(F.get(F.filter(ends, lambda t: t.isNotNull()), F.lit(0)), F.lit("NN")).alias("pos"))
+        low = F.lower(w)
+        lemma = F.regexp_replace(low, "(ing|ed|ly|s)$", "")
+        return F.struct(w.alias("word"), lemma.alias("lemma"), F.coalesce(F.try_element_at(table, F.regexp_extract(low, ending, 1)), F.lit("NN")).alias("pos"))
 
     return _docs(spark, sf_dir).withColumn("tokens", F.transform(W.words("text"), token))
 
