@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_rows, slices, small_batches
+from .common import number_rows, settle, slices, small_batches
 from .tokens import encoder
 
 LIMIT = 2048
@@ -74,14 +74,13 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> D
         enc = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, counts = enc.encode(part.column("text").to_pylist(), end_id)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                coded = enc.encode(part.column("text").to_pylist(), end_id)
+                counts = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
                 pieces = -(-counts // limit)
                 row = np.repeat(np.arange(len(counts)), pieces)
                 start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * limit
                 length = np.minimum(limit, counts[row] - start)
-                at = (np.cumsum(counts) - counts)[row] + start
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                crc = [zlib.crc32(memoryview(coded[k])[4 * a : 4 * (a + limit)]) for k, a in zip(row.tolist(), start.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(counts[row])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE_SCHEMA)
@@ -96,7 +95,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id
     Defined results: null or empty text is the end id alone; null doc_ids and repeated rows are
     packed like others; an empty table gives an empty result; other columns are ignored.
     """
-    pieces = cut_documents(docs, tokenizer, end_id, limit).withColumn("__deal", F.xxhash64("doc_id", "start"))
+    pieces = settle(cut_documents(docs, tokenizer, end_id, limit)).withColumn("__deal", F.xxhash64("doc_id", "start"))  # dealing by range reads its input twice
     numbered, _ = number_rows(pieces, ["length", "__deal", "doc_id", "start", "ids_crc32"])
     histogram = {int(r["length"]): int(r["n"]) for r in numbered.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     placed, _ = pack_histogram(histogram, limit)
