@@ -25,7 +25,7 @@ RATE = 0.5
 #: Share of the calibration targets that is spread over all languages.
 SMOOTH = 0.02
 UNKNOWN = "und"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Characters of a text that are taken at a time, up to a white space.
 PIECE = 1 << 20
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"
