@@ -85,6 +85,7 @@ def write_blocks(docs: DataFrame, keep: bool) -> DataFrame:
     writer = frame.mapInArrow(pack, BLOCK_SCHEMA).write.option("compression", "zstd").option("path", work_path(spark, "blocks"))
     writer.bucketBy(partitions(spark), "block_id").saveAsTable(name)
     table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay where they were written
     return table
 
 
