@@ -10,6 +10,10 @@ WORD_RE = r"(?:[\p{L}\p{M}]+(?:['’‘.:·][\p{L}\p{M}]+)*|\p{Nd}+(?:[,;.'’
 ALNUM_RE = r"[\p{L}\p{N}]"
 CHUNK = 64
 
+#: The marks around the body of a public-domain book file.
+START_MARK = r"\*\*\*\s*START OF (?:THIS |THE )?PROJECT GUTENBERG[^*]*\*\*\*"
+END_MARK = r"\*\*\*\s*END OF (?:THIS |THE )?PROJECT GUTENBERG"
+
 #: The languages of the downloadable models.
 LANGUAGES = {"en": "english", "fr": "french", "de": "german", "it": "italian", "es": "spanish", "nl": "dutch", "pt": "portuguese", "ru": "russian", "pl": "polish", "cs": "czech", "bg": "bulgarian"}
 
@@ -66,8 +70,8 @@ def slug(name: Column) -> Column:
 
 def strip_boilerplate(text: Column) -> Column:
     """The text between the first start marker and the first end marker behind it, trimmed."""
-    begun = F.regexp_replace(text, r"(?is)^.*?\*\*\*\s*START OF (?:THIS |THE )?PROJECT GUTENBERG[^*]*\*\*\*", "")
-    ended = F.regexp_replace(begun, r"(?is)\*\*\*\s*END OF (?:THIS |THE )?PROJECT GUTENBERG.*$", "")
+    begun = F.regexp_replace(text, f"(?is)^.*?{START_MARK}", "")
+    ended = F.regexp_replace(begun, f"(?is){END_MARK}.*$", "")
     return F.regexp_replace(ended, r"^\s+|\s+$", "")
 
 
