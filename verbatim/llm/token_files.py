@@ -16,7 +16,9 @@ from .simple8b import DOC, read_image, write_image
 from .tokens import encoder
 
 #: Ids after which an image is closed; one longer document makes one longer image.
-IMAGE_IDS = 1 << 20
+IMAGE_IDS = 1 << 17
+#: Bytes of text that are encoded at a time: an image's arrays then stay in a processor's cache.
+SLICE_BYTES = 1 << 19
 FILE_SCHEMA = "file_id int, image_id int, ids_before long, n_ids long, image binary"
 TOKEN_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -45,7 +47,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file_id", "image_id", "ids_before", "n_ids", "image"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 coded = enc.encode(part.column("text").to_pylist(), end_id)
                 ids = np.frombuffer(b"".join(coded), "<u4")
                 table = np.zeros(part.num_rows, DOC)
@@ -88,7 +90,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # an image is some megabytes
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # an image is some hundred kilobytes
     return based.mapInArrow(decode, TOKEN_SCHEMA)
 
 

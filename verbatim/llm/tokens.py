@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 
 #: Units whose ids a worker keeps; when there are more it starts anew, so its memory is bounded.
-CACHE_UNITS = 1_600_000
+CACHE_UNITS = 1_200_000
 #: Marks that may stand behind a word: the pre-tokenizers cut between a letter and these.
 MARKS = ",.;:!?"
 #: The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order.
