@@ -36,13 +36,12 @@ def main() -> None:
     QUERIES["corpus_stats"](spark, sf_dir).count()  # start the session
     taken = {}
     for name in HEADLINE:
-        best = None
-        for _ in range(2):
+        runs = []
+        while not runs or len(runs) < 2 and runs[0] < 10:  # the second run of what is quick, when code is compiled
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            seconds = time.perf_counter() - start
-            best = seconds if best is None else min(best, seconds)
-        taken[name] = round(best, 3)
+            runs.append(time.perf_counter() - start)
+        taken[name] = round(min(runs), 3)
     print(json.dumps({"metric": "headline_total", "value": round(sum(taken.values()), 3), "unit": "sec", "queries": taken, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
     spark.stop()
 
