@@ -1,0 +1,78 @@
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from verbatim.llm import minhash
+
+from .helpers import some_texts
+
+
+def brute_sets(texts):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    return out
+
+
+def brute_groups(texts):
+    """The smallest place that chains of Jaccard >= 0.8 connect each text with."""
+    sets, root = brute_sets(texts), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both * 5 >= len(sets[i] | sets[j]) * 4 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def planted_texts():
+    """Some texts, and copies of long ones at similarities on both sides of 0.8."""
+    rng, out = random.Random(3), some_texts(150, seed=9)
+    for k in range(60):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        out.append(" ".join(w))
+        for at in rng.sample(range(len(w)), max(1, len(w) * (k % 5 + 1) // 100)):
+            w[at] = "changed"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_dedup_stage_against_brute_force_jaccard(spark, tmp_path):
+    texts = planted_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()}
+    assert got == set(brute_groups(texts))
+
+
+@pytest.mark.parametrize("most", [2, 7])
+def test_large_buckets_are_dealt_by_pairs_of_parts_and_lose_no_link(spark, most, monkeypatch):
+    rng = random.Random(most)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts.append(" ".join(base))
+    monkeypatch.setattr(minhash.near_links, "__defaults__", (most,))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in minhash.drop_near_duplicates(docs).collect()} == set(brute_groups(texts))
+
+
+def test_bucket_links():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(1, 14)).astype(np.uint64)) for _ in range(60)]
+    root = list(range(60))
+    links = minhash.bucket_links(sets)
+    for i, j in links:
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    for i in range(60):
+        for j in range(60):
+            x, y = set(sets[i].tolist()), set(sets[j].tolist())
+            assert len(x & y) / len(x | y) < 0.8 or root[i] == root[j]
+    assert all(len(set(sets[i]) & set(sets[j])) * 5 >= len(set(sets[i]) | set(sets[j])) * 4 for i, j in links)

@@ -1,0 +1,174 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles; MinHash bands find the pairs to compare."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import partitions, settle, slices, small_batches
+from .components import components
+
+SEED = 42
+SHINGLE = 5
+#: Least similarity of a link, as a fraction, so that no rounding decides.
+LEAST = (4, 5)
+#: A pair at exactly 0.8 shares no band with probability (1 - 0.8**3) ** 24 = 3e-8, more similar ones with less.
+BANDS, ROWS = 24, 3
+#: Members of a bucket above which it is dealt out by pairs of parts, so that each task holds two parts at most.
+BUCKET_MOST = 1024
+#: Classes to drop or thin that may be broadcast (about 30 bytes each); more are joined by a shuffle.
+BROADCAST_CLASSES = 1 << 18
+_CHUNK = 1 << 13
+_RANDOM = np.random.default_rng(SEED)
+_XOR = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
+_ODD = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+
+
+def shingles(raw: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles' XXH64, sorted: A-Z lower-cased, words between ASCII white space.
+
+    Fewer words than `size` make one shingle; so does a text without words, equal to all others without.
+    """
+    words = (raw or b"").lower().split()
+    parts = map(b" ".join, zip(*(islice(words, k, None) for k in range(size)), strict=False)) if len(words) > size else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band of ROWS minima; the band's number is hashed with them."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), _CHUNK):
+        np.minimum(least, ((hashes[at : at + _CHUNK] ^ _XOR) * _ODD).min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)), np.uint64, BANDS).view(np.int64)
+
+
+def bucket_links(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> list[tuple[int, int]]:
+    """Links (place, place) that join all sets that chains of Jaccard >= `least` connect; fewer than sets.
+
+    Each set is counted against all at once, unless they are in its group already.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    mark, group, out = np.zeros(ids.max() + 1, bool), np.arange(n), []
+    for i in range(n - 1):
+        if (group[i + 1 :] == group[i]).all():
+            continue
+        own = ids[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        both = np.add.reduceat(mark[ids[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
+        mark[own] = False
+        near = both * least[1] >= (sizes[i + 1 :] + sizes[i] - both) * least[0]
+        for j in np.flatnonzero(near) + i + 1:
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
+                out.append((i, int(j)))
+    return out
+
+
+def _class_of(docs: DataFrame) -> Column:
+    """Rows of equal text (null counts as empty) are one class: the text's MD5."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
+def _signatures(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "raw"):
+                keys = [bands(shingles(x.as_py())) for x in part.column("raw")]
+                flat = pa.array(np.concatenate(keys)) if keys else pa.array([], pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("cls"), lists], ["doc_id", "cls", "keys"])
+
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _class_of(docs).alias("cls"), F.col("text").cast("string").cast("binary").alias("raw"))
+    return raw.mapInArrow(work, "doc_id long, cls binary, keys array<long>")
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """(key, n, cid) of every bucket with two classes at least; of buckets with the same members one stays."""
+    rows = classes.select("cid", F.explode("keys").alias("key"), F.xxhash64("cid").alias("h"), F.xxhash64("cid", F.lit(SEED)).alias("g"))
+    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"), F.min("cid").alias("least"), F.max("cid").alias("most"))
+    chosen = found.where("n > 1").groupBy("n", "h", "g", "least", "most").agg(F.min("key").alias("key")).select("key", "n")
+    return settle(rows.select("cid", "key").join(chosen, "key").select("key", "n", "cid"))
+
+
+def near_links(docs: DataFrame, classes: DataFrame, most: int = BUCKET_MOST) -> DataFrame:
+    """Links (a, b) between classes, each compared exactly, enough to join all that chains of them connect.
+
+    Only classes in a bucket with others are compared; their shingles go to each such bucket once.
+    """
+    small_batches(docs.sparkSession)
+    members = _members(classes)
+    wanted = members.select("cid").distinct().join(classes.select("cid", "cls"), "cid")
+    texts = docs.select(_class_of(docs).alias("cls"), F.col("text").cast("string").cast("binary").alias("raw")).join(wanted, "cls").dropDuplicates(["cid"]).select("cid", "raw")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "raw"):
+                yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array([shingles(x.as_py()).tobytes() for x in part.column("raw")], pa.binary())], ["cid", "hashes"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cids, held = None, [], []
+        a: list[int] = []
+        b: list[int] = []
+
+        def close() -> None:
+            if len(cids) > 1:
+                for i, j in bucket_links(held):
+                    a.append(cids[i])
+                    b.append(cids[j])
+
+        for batch in batches:
+            for *now, cid, hashes in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "cid", "hashes")), strict=True):
+                if now != key:
+                    close()
+                    key, cids, held = now, [], []
+                cids.append(cid)
+                held.append(np.frombuffer(hashes, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    parts = F.ceil(F.col("n") / most)
+    part = F.pmod(F.xxhash64("cid"), parts)
+    dealt = members.select("key", "cid", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    dealt = dealt.select("key", "cid", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    joined = dealt.join(texts.mapInArrow(sets, "cid long, hashes binary"), "cid")
+    ordered = joined.repartition(partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "cid")
+    return ordered.select("key", "i", "j", "cid", "hashes").mapInArrow(search, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The documents, all columns; one row stays of all that chains of Jaccard >= 0.8 over five-word shingles connect.
+
+    The smallest doc_id stays, rows without one last. Rows are told apart by (doc_id, text), so rows
+    of one doc_id with different texts are judged each by its text. Texts without words are equal.
+    """
+    per = _signatures(docs).groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    classes = settle(per.withColumn("cid", F.monotonically_increasing_id()))
+    roots = settle(components(near_links(docs, classes)))
+    linked = roots.join(classes.select("cid", "rep"), F.col("cid") == F.col("node"))
+    best = linked.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cid")).alias("best"))
+    # the root of a component has no row of its own among the nodes
+    own = classes.join(roots.select("root").distinct(), F.col("cid") == F.col("root")).select("root", F.struct(F.col("rep").isNull().alias("none"), "rep", "cid").alias("best"))
+    best = best.unionByName(own).groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.cid").alias("winner"))
+    comp = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    lost = comp.join(best, "root").where(F.col("node") != F.col("winner")).select(F.col("node").alias("cid"), F.lit(True).alias("lost"))
+    special = settle(classes.select("cid", "cls", "rep", "n").join(lost, "cid", "left").where("lost or n > 1").select(F.col("cls").alias("__cls"), F.col("rep").alias("__rep"), F.coalesce("lost", F.lit(False)).alias("__lost")))
+    few = special.count() <= BROADCAST_CLASSES
+    put = F.broadcast if few else lambda x: x
+    keyed = docs.withColumn("__own", _class_of(docs))
+    rest = keyed.join(put(special.select("__cls")), F.col("__own") == F.col("__cls"), "left_anti")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__rep"))
+    thinned = keyed.join(put(special.where("not __lost").drop("__lost")), (F.col("__own") == F.col("__cls")) & same).dropDuplicates(["__cls"])
+    return rest.select(*docs.columns).unionByName(thinned.select(*docs.columns))

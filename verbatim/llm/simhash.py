@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .bktree import forest_links
 from .common import partitions, settle, slices, small_batches
 from .components import components
+from .minhash import drop_near_duplicates  # noqa: F401  (the stage of the pipeline, by exact similarity)
 
 SEED = 42
 BITS = 64
@@ -157,22 +158,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = fps.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Ids to drop that may be broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1 << 20
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The documents, all columns, less those that a smaller doc_id is linked to; one of each group stays.
-
-    Rows without a doc_id stay. Of rows with one doc_id, which count as one document, one stays.
-    """
-    found = settle(near_duplicates(docs, shingle, radius))
-    drop = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__drop")).distinct()
-    few = drop.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(drop) if few else drop, F.col("doc_id") == F.col("__drop"), "left_anti")
-    if not found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where(F.col("doc_id").isNull()))
-    return kept
