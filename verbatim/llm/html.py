@@ -38,8 +38,10 @@ SCOPE = frozenset("table td th caption html template".split())
 #: Open elements above which further ones are laid out as their parent's own.
 DEEPEST = 256
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A quote opens a value only directly after "="; elsewhere, in unquoted values and without a second one it is an ordinary character.
+_NAMED = r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"([^\"]*+)\"|'([^']*+)'|((?![\"'])[^ \t\n\r\f>]++))?+)?+"
+_ATTRIBUTE = re.compile(_NAMED)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|{_NAMED})*+)>|<[!?/][^>]*>", re.DOTALL)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 
