@@ -28,3 +28,26 @@ def test_stray_quotes_take_linear_time():
     assert html.extract("<a title=don't b='c \"d>x</a> " * 20_000).count("x") > 0
     assert html.extract("<p class=\"a\"\">x</p>" * 20_000).count("x") == 20_000
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><tr>stray<td>a</td></tr></table>", "stray\na"),
+        ("<table><tr><td>a</td> tail</tr></table>", "tail\na"),
+        ("<table><tr><td>a<td>b</td>tail<tr><td>c<td>d</table>", "tail\na  b\nc  d"),
+        ("<table><colgroup><col>stray<tr><td>a</table>", "stray\na"),
+        ("a<xmp><b>x</b> &amp;\n  y</xmp>b", "a\n\n<b>x</b> &amp;\n  y\n\nb"),
+        ("<xmp hidden>x</xmp>b<xmp>left open", "b\n\nleft open"),
+    ],
+)
+def test_text_beside_cells_and_in_xmp_is_kept(page, text):
+    assert html.extract(page) == text
+
+
+@pytest.mark.parametrize("depth", range(248, 260))
+@pytest.mark.parametrize("inner", ["<table><tr><td>", "<table><tr><td>y<td>", "<table><tbody><tr><th>y</th>", "<table><colgroup>", "<ul><li>y<li>", "<p>y</p>", "<xmp>", "<table><caption>"])
+def test_no_text_is_lost_at_the_depth_limit(depth, inner):
+    want = ["y", "x"] if "y" in inner else ["x"]
+    assert sorted(html.extract("<div>" * depth + inner + "x").replace("- ", "").split()) == sorted(want)
+    assert sorted(html.extract("<div>" * (depth % 3) + "<table><tr><td>" * 300 + inner + "x").replace("- ", "").split()) == sorted(want)

@@ -16,7 +16,7 @@ from .common import slices, small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head title script style template noscript noframes iframe object audio video canvas svg math datalist select textarea option optgroup map area base link meta param source track".split())
 RAW = frozenset("script style noscript noframes iframe template textarea title xmp".split())
-PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre xmp figure fieldset hr".split())
 BLOCK = PARAGRAPH | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main menu nav optgroup option section summary caption tbody thead tfoot tr".split())
 #: A start tag closes these open elements, but not beyond those of the second set.
 CLOSES = {
@@ -70,6 +70,8 @@ def parse(html: str) -> Element:
         if tag is None:
             continue
         tag = tag.lower()
+        if len(stack) >= DEEPEST and (tag in BLOCK or tag in ("td", "th")):
+            stack[-1].children.append("\n")  # no element is opened or closed here, but words stay apart
         if m[1]:
             _close(stack, tag)
             continue
@@ -84,6 +86,8 @@ def parse(html: str) -> Element:
             stack[-1].children.append(element)
         if tag in RAW:
             close = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(html, at)
+            if tag == "xmp":  # shown as it stands, without tags or references
+                (element if len(stack) < DEEPEST else stack[-1]).children.append(html[at : close.start() if close else end])
             at = (html.find(">", close.start()) + 1 or end) if close else end
         elif tag not in VOID and len(stack) < DEEPEST:  # a slash closes no element but the void ones
             stack.append(element)
@@ -238,7 +242,7 @@ def _walk(node: Element, page: Page, pre: bool) -> None:
             outer = page.indent
             if tag in ("blockquote", "dd"):
                 page.indent += "  "
-            _walk(child, page, pre or tag == "pre")
+            _walk(child, page, pre or tag in ("pre", "xmp"))
             page.break_to(gap)
             page.indent = outer
         else:
@@ -250,14 +254,18 @@ def _rows(node: Element) -> Iterator[Element]:
         if isinstance(child, Element) and not child.hidden:
             if child.tag in ("tr", "caption"):
                 yield child
-            elif child.tag in ("tbody", "thead", "tfoot"):
+            elif child.tag in ("tbody", "thead", "tfoot", "colgroup"):
                 yield from _rows(child)
-            elif child.tag not in ("colgroup", "col"):
+            elif child.tag != "col":
                 yield child  # what strays into a table is a line of its own
         elif isinstance(child, str) and child.strip():
-            stray = Element("caption")
-            stray.children.append(child)
-            yield stray
+            yield _stray(child)
+
+
+def _stray(text: str) -> Element:
+    stray = Element("caption")
+    stray.children.append(text)
+    return stray
 
 
 def _table(table: Element) -> list[str]:
@@ -267,6 +275,7 @@ def _table(table: Element) -> list[str]:
         if row.tag != "tr":
             grid.append(render(row))
             continue
+        grid += [render(_stray(c)) for c in row.children if isinstance(c, str) and c.strip()]  # above the row, as browsers show it
         grid.append([render(c).split("\n") for c in row.children if isinstance(c, Element) and not c.hidden])
     width: dict[int, int] = {}
     for row in grid:
