@@ -76,3 +76,16 @@ def test_bucket_links():
             x, y = set(sets[i].tolist()), set(sets[j].tolist())
             assert len(x & y) / len(x | y) < 0.8 or root[i] == root[j]
     assert all(len(set(sets[i]) & set(sets[j])) * 5 >= len(set(sets[i]) | set(sets[j])) * 4 for i, j in links)
+
+
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_rows_are_judged_by_id_and_text(spark, few, monkeypatch):
+    monkeypatch.setattr(minhash, "BROADCAST_CLASSES", few)
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, d), (None, d), (None, e), (None, e), (None, e.replace("e59", "E59")), (4, None), (None, " \n"), (5, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, __rep int").repartition(3)
+    got = minhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    kept = sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in got.collect())
+    assert kept == sorted([("1", a), ("2", b), ("3", c), ("3", d), ("None", e), ("4", "")])
+    assert minhash.drop_near_duplicates(docs.where("false")).count() == 0

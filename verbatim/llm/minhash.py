@@ -159,16 +159,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     roots = settle(components(near_links(docs, classes)))
     linked = roots.join(classes.select("cid", "rep"), F.col("cid") == F.col("node"))
     best = linked.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cid")).alias("best"))
-    # the root of a component has no row of its own among the nodes
-    own = classes.join(roots.select("root").distinct(), F.col("cid") == F.col("root")).select("root", F.struct(F.col("rep").isNull().alias("none"), "rep", "cid").alias("best"))
-    best = best.unionByName(own).groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.cid").alias("winner"))
+    # a root has no row of its own among the nodes
+    alone = classes.join(roots.select("root").distinct(), F.col("cid") == F.col("root")).select("root", F.struct(F.col("rep").isNull().alias("none"), "rep", "cid").alias("best"))
+    best = best.unionByName(alone).groupBy("root").agg(F.min("best").alias("best")).select("root", F.col("best.cid").alias("winner"))
     comp = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     lost = comp.join(best, "root").where(F.col("node") != F.col("winner")).select(F.col("node").alias("cid"), F.lit(True).alias("lost"))
-    special = settle(classes.select("cid", "cls", "rep", "n").join(lost, "cid", "left").where("lost or n > 1").select(F.col("cls").alias("__cls"), F.col("rep").alias("__rep"), F.coalesce("lost", F.lit(False)).alias("__lost")))
-    few = special.count() <= BROADCAST_CLASSES
-    put = F.broadcast if few else lambda x: x
-    keyed = docs.withColumn("__own", _class_of(docs))
-    rest = keyed.join(put(special.select("__cls")), F.col("__own") == F.col("__cls"), "left_anti")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__rep"))
-    thinned = keyed.join(put(special.where("not __lost").drop("__lost")), (F.col("__own") == F.col("__cls")) & same).dropDuplicates(["__cls"])
+    pad = "_" * (1 + max(map(len, docs.columns)))  # longer than any column's name, so no name clashes
+    own, cls, rep = f"{pad}own", f"{pad}cls", f"{pad}rep"
+    special = settle(classes.select("cid", "cls", "rep", "n").join(lost, "cid", "left").where("lost or n > 1").select(F.col("cls").alias(cls), F.col("rep").alias(rep), F.coalesce("lost", F.lit(False)).alias("lost")))
+    put = F.broadcast if special.count() <= BROADCAST_CLASSES else lambda x: x
+    keyed = docs.withColumn(own, _class_of(docs))
+    rest = keyed.join(put(special.select(cls)), F.col(own) == F.col(cls), "left_anti")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(rep))
+    thinned = keyed.join(put(special.where("not lost").select(cls, rep)), (F.col(own) == F.col(cls)) & same).dropDuplicates([cls])
     return rest.select(*docs.columns).unionByName(thinned.select(*docs.columns))
