@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import isqrt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import number_rows
@@ -54,6 +54,18 @@ def shuffle_positions(df: DataFrame, rows: int, seed: int, column: str = "row_nu
     return out
 
 
+#: Columns whose order numbers the rows.
+ORDER = ["doc_id", "text_crc32", "size"]
+
+
+def _keys() -> list[Column]:
+    return [
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+    ]
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 20260101) -> DataFrame:
     """Puts every row into one of `shards` shards whose row counts differ by one at most.
 
@@ -63,12 +75,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 20260101) ->
     Defined results: null text counts as empty (size 1, crc32 0); null doc_ids are kept; repeated
     rows get places of their own; an empty table gives an empty result; other columns are ignored.
     """
-    narrow = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-    )
-    numbered, rows = number_rows(narrow, ["doc_id", "text_crc32", "size"])
+    numbered, rows = number_rows(docs.select(*_keys()), ORDER)
     placed = shuffle_positions(numbered, rows, seed) if rows else numbered.withColumn("position", F.col("row_number"))
     return placed.select(
         "doc_id", "size", "text_crc32",
@@ -81,7 +88,14 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 20260101) ->
 
 
 def write_shards(assigned: DataFrame, docs: DataFrame, path: str, files_per_shard: int = 64) -> None:
-    """Writes the documents by shard, each shard in `files_per_shard` files at most, slots ascending in a file."""
-    keyed = docs.join(assigned.select("doc_id", "shard", "slot").dropDuplicates(["doc_id"]), "doc_id")
+    """Writes the documents by shard, each shard in `files_per_shard` files at most, slots ascending in a file.
+
+    `assigned` is shard_documents(docs). The rows are numbered again in the same order, so every row,
+    with or without a doc_id of its own, is written once, with a shard and slot that no other row has.
+    """
+    numbered, rows = number_rows(docs.select(*_keys(), F.struct(*docs.columns).alias("__row")), ORDER)
+    if assigned.count() != rows:
+        raise ValueError("assigned and docs differ in their rows")
+    keyed = numbered.select("row_number", "__row").join(assigned.select("row_number", "shard", "slot"), "row_number").select("__row.*", "shard", "slot")
     part = F.expr(f"slot div 4096L % {files_per_shard}L")
     keyed.repartition("shard", part).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
