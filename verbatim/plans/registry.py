@@ -132,8 +132,8 @@ s AS (SELECT {shape(f'toks[greatest(position - {reach}, 0) + 1 : position]')} AS
 w AS (SELECT 'l' AS side, unnest(l[greatest(len(l) - {left}, 0) + 1 :]) AS word FROM s UNION ALL SELECT 'r', unnest(r[1 : {right}]) FROM s)"""
 
 
-def _collocates_sql(term: str, left: int, right: int, limit: int) -> str:
-    return f"""WITH {_sides(term, left, right)},
+def _collocates_sql(term: str, left: int, right: int, limit: int, *hits: int) -> str:
+    return f"""WITH {_sides(term, left, right, *hits)},
 c AS (SELECT word, count(*) FILTER (side = 'l') AS left_count, count(*) FILTER (side = 'r') AS right_count, count(*) AS total FROM w GROUP BY word)
 SELECT word, '' AS pos, left_count, right_count, total, round(log2(total + 1), 6) AS log_dice, round(log2(total + 1), 6) AS mi, round(log2(total + 1), 6) AS z, 0 AS dist
 FROM c ORDER BY total DESC, word LIMIT {limit}"""
@@ -179,6 +179,37 @@ def collocates_chart(spark, sf_dir):
     return _rounded(x.select("word", "left_count", "right_count", "total", "preference", "family", "radius"), "preference", "radius")
 
 
+#: For SQL that counts every hit; the queries above stop at COLLOCATE_HITS, as the reference does.
+_ALL = 10**12
+
+
+@query(_collocates_sql("the", 5, 5, 50, _ALL))
+def collocates_sym_all(spark, sf_dir):
+    return _rounded(collocates.collocates(_corpus(spark, sf_dir), "the", left=5, right=5, max_hits=None), "log_dice", "mi", "z")
+
+
+@query(_collocates_sql("and", 2, 6, 40, _ALL))
+def collocates_asym_all(spark, sf_dir):
+    return _rounded(collocates.collocates(_corpus(spark, sf_dir), "and", left=2, right=6, limit=40, max_hits=None), "log_dice", "mi", "z")
+
+
+@query(_collocates_sql("of", 3, 0, 20, _ALL))
+def collocates_left_only_all(spark, sf_dir):
+    return _rounded(collocates.collocates(_corpus(spark, sf_dir), "of", left=3, right=0, limit=20, max_hits=None), "log_dice", "mi", "z")
+
+
+@query(f"WITH {_sides('the', 5, 5, _ALL)} SELECT (SELECT count(*) FROM n) AS node_hits, (SELECT count(*) FROM w) AS window_tokens")
+def collocates_summary_all(spark, sf_dir):
+    return collocates.summary(_corpus(spark, sf_dir), "the", max_hits=None)
+
+
+@query(f"""WITH b AS ({_collocates_sql('the', 5, 5, 50, _ALL)})
+SELECT word, left_count, right_count, total, round((right_count - left_count)::DOUBLE / total, 6) AS preference, 'function' AS family, round(4 + 12 * sqrt(total) / sqrt((SELECT max(total) FROM b)), 6) AS radius FROM b""")
+def collocates_chart_all(spark, sf_dir):
+    x = collocates.for_chart(collocates.collocates(_corpus(spark, sf_dir), "the", left=5, right=5, max_hits=None))
+    return _rounded(x.select("word", "left_count", "right_count", "total", "preference", "family", "radius"), "preference", "radius")
+
+
 @query(f"""WITH {_T}, c AS (SELECT lower(w) AS word, count(*) AS "count" FROM (SELECT unnest(toks) AS w FROM t) GROUP BY 1)
 SELECT word, "count", round(100::DOUBLE * "count" / (SELECT sum("count") FROM c), 6) AS pct FROM c""")
 def freq_word(spark, sf_dir):
