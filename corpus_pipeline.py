@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from verbatim.llm.common import work_path
 from verbatim.llm.decontaminate import drop_contaminated
 from verbatim.llm.langid import keep_identified
-from verbatim.llm.minhash import drop_near_duplicates
 from verbatim.llm.packing import pack_documents
+from verbatim.llm.similar import drop_near_duplicates
 from verbatim.llm.suffix_dedup import remove_repeats
 
 
@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of exact or near copies (Jaccard >= 0.8 over five-word shingles)."""
+    """Keeps one document of each group of exact or near copies (SimHash, then Jaccard >= 0.8 over five-word shingles)."""
     return drop_near_duplicates(docs)
 
 
@@ -30,8 +30,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold benchmark passages."""
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Drops every document in which a benchmark window occurs, also long ones of which it is a small part."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), share=None)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from verbatim.llm import simhash, suffix_dedup
+from verbatim.llm import similar, simhash, suffix_dedup
 from verbatim.llm.anchors import LENGTH, anchors
 from verbatim.llm.bktree import BKTree, forest_links
 from verbatim.llm.components import components
@@ -64,7 +64,7 @@ def test_near_duplicates_edges(spark):
     want = list(zip([d for d, _ in EDGES], [f"{x:016x}" for x in fps], groups([d for d, _ in EDGES], fps, 3)))
     assert sorted(map(str, (tuple(r)[:3] for r in got))) == sorted(map(str, want))
     assert simhash.near_duplicates(empty_docs(spark)).count() == 0
-    kept = [r["doc_id"] for r in simhash.drop_near_duplicates(edge_docs(spark)).collect()]
+    kept = [r["doc_id"] for r in similar.drop_near_duplicates(edge_docs(spark)).collect()]
     assert sorted(x for x in kept if x is not None) == sorted({c for (d, _, c) in want if d is not None}) and kept.count(None) == 1
 
 

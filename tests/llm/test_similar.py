@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from verbatim.llm import minhash
+from verbatim.llm import similar
 
 from .helpers import some_texts
 
@@ -58,16 +58,17 @@ def test_large_buckets_are_dealt_by_pairs_of_parts_and_lose_no_link(spark, most,
         w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
         texts.append(" ".join(w))
     texts.append(" ".join(base))
-    monkeypatch.setattr(minhash.near_links, "__defaults__", (most,))
+    monkeypatch.setattr(similar.near_links, "__defaults__", (most,))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"] for r in minhash.drop_near_duplicates(docs).collect()} == set(brute_groups(texts))
+    assert {r["doc_id"] for r in similar.drop_near_duplicates(docs).collect()} == set(brute_groups(texts))
 
 
-def test_bucket_links():
+def test_tree_links():
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 12, rng.integers(1, 14)).astype(np.uint64)) for _ in range(60)]
+    pool = rng.integers(0, 1 << 64, 12, np.uint64)
+    sets = [np.unique(pool[rng.integers(0, 12, rng.integers(1, 14))]) for _ in range(60)]
     root = list(range(60))
-    links = minhash.bucket_links(sets)
+    links = similar.tree_links([similar.vote(x) for x in sets], sets, 64)
     for i, j in links:
         a, b = sorted((root[i], root[j]))
         root = [a if r == b else r for r in root]
@@ -78,14 +79,22 @@ def test_bucket_links():
     assert all(len(set(sets[i]) & set(sets[j])) * 5 >= len(set(sets[i]) | set(sets[j])) * 4 for i, j in links)
 
 
+@pytest.mark.parametrize("n, other", [(4, 5), (8, 10), (40, 50), (400, 500)])
+def test_the_radius_reaches_texts_at_the_least_similarity(n, other):
+    rng = np.random.default_rng(n)
+    for _ in range(3000):
+        x = rng.integers(0, 1 << 64, other, np.uint64)
+        assert (similar.vote(x) ^ similar.vote(x[:n])).bit_count() <= similar.RADIUS
+
+
 @pytest.mark.parametrize("few", [1 << 18, 0])
 def test_rows_are_judged_by_id_and_text(spark, few, monkeypatch):
-    monkeypatch.setattr(minhash, "BROADCAST_CLASSES", few)
+    monkeypatch.setattr(similar, "BROADCAST_CLASSES", few)
     a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
     rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, d), (None, d), (None, e), (None, e), (None, e.replace("e59", "E59")), (4, None), (None, " \n"), (5, "")]
     docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, __rep int").repartition(3)
-    got = minhash.drop_near_duplicates(docs)
+    got = similar.drop_near_duplicates(docs)
     assert got.columns == docs.columns
     kept = sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in got.collect())
     assert kept == sorted([("1", a), ("2", b), ("3", c), ("3", d), ("None", e), ("4", "")])
-    assert minhash.drop_near_duplicates(docs.where("false")).count() == 0
+    assert similar.drop_near_duplicates(docs.where("false")).count() == 0

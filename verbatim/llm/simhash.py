@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from .bktree import forest_links
 from .common import partitions, settle, slices, small_batches
 from .components import components
-from .minhash import drop_near_duplicates  # noqa: F401  (the stage of the pipeline, by exact similarity)
 
 SEED = 42
 BITS = 64
@@ -37,11 +36,27 @@ def fingerprint(raw: bytes | None, shingle: int = 3) -> int:
     parts = map(partial(xxhash.xxh64_intdigest, seed=SEED), map(b" ".join, zip(*(islice(words, k, None) for k in range(shingle)), strict=False)))
     n, counts = len(words) - shingle + 1, np.zeros(BITS, np.int64)
     for at in range(0, n, _CHUNK):
-        h = np.fromiter(parts, np.uint64, min(_CHUNK, n - at))
-        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        counts += _ballot(np.fromiter(parts, np.uint64, min(_CHUNK, n - at)))
+    return _majority(counts, n)
+
+
+def _ballot(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def vote(hashes: np.ndarray) -> int:
+    """The fingerprint of hashed shingles."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        counts += _ballot(hashes[at : at + _CHUNK])
+    return _majority(counts, len(hashes))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row."""
     small_batches(docs.sparkSession)

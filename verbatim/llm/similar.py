@@ -1,4 +1,9 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles; MinHash bands find the pairs to compare."""
+"""SimHash near-duplicates of a stated similarity: BK-trees of fingerprints in shards, and an exact check of each link.
+
+Blocks of bits, which shard the fingerprints of simhash.py, can't reach texts that share four fifths of
+their shingles: these differ in ten bits on average. So texts are dealt to shards by the least hashes of
+their shingles, which such texts share, and each shard's tree is asked within a wide radius.
+"""
 
 from __future__ import annotations
 
@@ -11,16 +16,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bktree import BKTree
 from .common import partitions, settle, slices, small_batches
 from .components import components
+from .simhash import SEED, vote
 
-SEED = 42
 SHINGLE = 5
 #: Least similarity of a link, as a fraction, so that no rounding decides.
 LEAST = (4, 5)
-#: A pair at exactly 0.8 shares no band with probability (1 - 0.8**3) ** 24 = 3e-8, more similar ones with less.
+#: Bits in which fingerprints of a link may differ: at 0.8 the mean is 10 of 64 and more than 28 have probability 1e-8
+#: (1e-6 for the worst of sizes, four shingles of which five have all); a fifth of unrelated texts are within it.
+RADIUS = 28
+#: A pair at exactly 0.8 shares no shard with probability (1 - 0.8**3) ** 24 = 3e-8, more similar ones with less.
 BANDS, ROWS = 24, 3
-#: Members of a bucket above which it is dealt out by pairs of parts, so that each task holds two parts at most.
+#: Members of a shard above which it is dealt out by pairs of parts, so that each task holds two parts at most.
 BUCKET_MOST = 1024
 #: Classes to drop or thin that may be broadcast (about 30 bytes each); more are joined by a shuffle.
 BROADCAST_CLASSES = 1 << 18
@@ -49,27 +58,40 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)), np.uint64, BANDS).view(np.int64)
 
 
-def bucket_links(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> list[tuple[int, int]]:
-    """Links (place, place) that join all sets that chains of Jaccard >= `least` connect; fewer than sets.
+def similar(x: np.ndarray, y: np.ndarray, least: tuple[int, int] = LEAST) -> bool:
+    """Jaccard similarity of two sorted sets is at least `least`."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) * least[1] < len(y) * least[0]:
+        return False
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return both * least[1] >= (len(x) + len(y) - both) * least[0]
+
+
+def tree_links(fps: list[int], sets: list[np.ndarray], radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links (place, place) that join all texts of a shard that chains of links connect; fewer than texts.
 
-    Each set is counted against all at once, unless they are in its group already.
+    Fingerprints go into the tree one by one and ask it first; what it finds is compared exactly,
+    unless it is in the same group already.
     """
-    n, sizes = len(sets), np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    mark, group, out = np.zeros(ids.max() + 1, bool), np.arange(n), []
-    for i in range(n - 1):
-        if (group[i + 1 :] == group[i]).all():
-            continue
-        own = ids[starts[i] : starts[i] + sizes[i]]
-        mark[own] = True
-        both = np.add.reduceat(mark[ids[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
-        mark[own] = False
-        near = both * least[1] >= (sizes[i + 1 :] + sizes[i] - both) * least[0]
-        for j in np.flatnonzero(near) + i + 1:
-            if group[i] != group[j]:
-                group[group == group[j]] = group[i]
-                out.append((i, int(j)))
+    tree, members, place, parent, out = BKTree(), [], {}, list(range(len(fps))), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i, fp in enumerate(fps):
+        for k in tree.near(fp, radius):
+            for j in members[k]:
+                a, b = root(i), root(j)
+                if a != b and similar(sets[i], sets[j]):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((i, j))
+        if fp not in place:
+            place[fp] = tree.add(fp)
+            members.append([])
+        members[place[fp]].append(i)
     return out
 
 
@@ -84,27 +106,28 @@ def _signatures(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "raw"):
-                keys = [bands(shingles(x.as_py())) for x in part.column("raw")]
+                sets = [shingles(x.as_py()) for x in part.column("raw")]
+                keys, fps = [bands(x) for x in sets], np.fromiter(map(vote, sets), np.uint64, len(sets)).view(np.int64)
                 flat = pa.array(np.concatenate(keys)) if keys else pa.array([], pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("cls"), lists], ["doc_id", "cls", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("cls"), pa.array(fps), lists], ["doc_id", "cls", "fp", "keys"])
 
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _class_of(docs).alias("cls"), F.col("text").cast("string").cast("binary").alias("raw"))
-    return raw.mapInArrow(work, "doc_id long, cls binary, keys array<long>")
+    return raw.mapInArrow(work, "doc_id long, cls binary, fp long, keys array<long>")
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(key, n, cid) of every bucket with two classes at least; of buckets with the same members one stays."""
-    rows = classes.select("cid", F.explode("keys").alias("key"), F.xxhash64("cid").alias("h"), F.xxhash64("cid", F.lit(SEED)).alias("g"))
+    """(key, n, cid, fp) of every shard with two classes at least; of shards with the same members one stays."""
+    rows = classes.select("cid", "fp", F.explode("keys").alias("key"), F.xxhash64("cid").alias("h"), F.xxhash64("cid", F.lit(SEED)).alias("g"))
     found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"), F.min("cid").alias("least"), F.max("cid").alias("most"))
     chosen = found.where("n > 1").groupBy("n", "h", "g", "least", "most").agg(F.min("key").alias("key")).select("key", "n")
-    return settle(rows.select("cid", "key").join(chosen, "key").select("key", "n", "cid"))
+    return settle(rows.select("cid", "fp", "key").join(chosen, "key").select("key", "n", "cid", "fp"))
 
 
 def near_links(docs: DataFrame, classes: DataFrame, most: int = BUCKET_MOST) -> DataFrame:
     """Links (a, b) between classes, each compared exactly, enough to join all that chains of them connect.
 
-    Only classes in a bucket with others are compared; their shingles go to each such bucket once.
+    Only classes in a shard with others go on; their shingles go to each such shard once.
     """
     small_batches(docs.sparkSession)
     members = _members(classes)
@@ -117,22 +140,23 @@ def near_links(docs: DataFrame, classes: DataFrame, most: int = BUCKET_MOST) ->
                 yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array([shingles(x.as_py()).tobytes() for x in part.column("raw")], pa.binary())], ["cid", "hashes"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cids, held = None, [], []
+        key, cids, fps, held = None, [], [], []
         a: list[int] = []
         b: list[int] = []
 
         def close() -> None:
             if len(cids) > 1:
-                for i, j in bucket_links(held):
+                for i, j in tree_links(fps, held):
                     a.append(cids[i])
                     b.append(cids[j])
 
         for batch in batches:
-            for *now, cid, hashes in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "cid", "hashes")), strict=True):
+            for *now, cid, fp, hashes in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "cid", "fp", "hashes")), strict=True):
                 if now != key:
                     close()
-                    key, cids, held = now, [], []
+                    key, cids, fps, held = now, [], [], []
                 cids.append(cid)
+                fps.append(fp & 0xFFFFFFFFFFFFFFFF)
                 held.append(np.frombuffer(hashes, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
             a, b = [], []
@@ -141,11 +165,11 @@ def near_links(docs: DataFrame, classes: DataFrame, most: int = BUCKET_MOST) ->
 
     parts = F.ceil(F.col("n") / most)
     part = F.pmod(F.xxhash64("cid"), parts)
-    dealt = members.select("key", "cid", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    dealt = dealt.select("key", "cid", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    dealt = members.select("key", "cid", "fp", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    dealt = dealt.select("key", "cid", "fp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     joined = dealt.join(texts.mapInArrow(sets, "cid long, hashes binary"), "cid")
     ordered = joined.repartition(partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "cid")
-    return ordered.select("key", "i", "j", "cid", "hashes").mapInArrow(search, "a long, b long")
+    return ordered.select("key", "i", "j", "cid", "fp", "hashes").mapInArrow(search, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -154,7 +178,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     The smallest doc_id stays, rows without one last. Rows are told apart by (doc_id, text), so rows
     of one doc_id with different texts are judged each by its text. Texts without words are equal.
     """
-    per = _signatures(docs).groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    per = _signatures(docs).groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     classes = settle(per.withColumn("cid", F.monotonically_increasing_id()))
     roots = settle(components(near_links(docs, classes)))
     linked = roots.join(classes.select("cid", "rep"), F.col("cid") == F.col("node"))
