@@ -94,6 +94,7 @@ def test_decontamination(spark, monkeypatch, group):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not x[-1] for x in want)
+    assert decontaminate.drop_contaminated(docs, bench, share=None).count() == sum(not x[2] for x in want)
 
 
 def test_decontamination_edges(spark):

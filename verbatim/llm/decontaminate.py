@@ -90,8 +90,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return raw.mapInArrow(search, SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns; each is searched where it is read."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int | None = 20) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns; each is searched where it is read.
+
+    With no `share` any hit drops a document, however long it is. Defined results: documents with null
+    or blank text stay, whatever their doc_id; repeated rows are judged alike; an empty table or an
+    empty benchmark drops nothing; names of other columns do not matter, as no column is added.
+    """
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(x) for x in _item_groups(benchmark)]
 
@@ -105,10 +110,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     return docs.where(clean(F.col("text")))
 
 
-def _contaminated(words: list[bytes], groups: list[list[WuManber]], share: int) -> bool:
+def _contaminated(words: list[bytes], groups: list[list[WuManber]], share: int | None) -> bool:
     hit = set()
     for searchers in groups:
         for s in searchers:
             for at, _ in s.search(words):
+                if share is None:
+                    return True
                 hit.update(range(at, at + s.length))
     return bool(hit) and share * len(hit) >= len(words)
