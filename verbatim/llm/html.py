@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -35,107 +36,198 @@ CLOSES = {
 }
 #: Elements that an end tag or an implied end does not reach through.
 SCOPE = frozenset("table td th caption html template".split())
-#: Open elements above which further ones are laid out as their parent's own.
-DEEPEST = 256
+#: End tags that reach through those all the same.
+FAR_ENDS = frozenset("table tr tbody thead tfoot body html".split())
+#: Tables inside more than so many others are laid out with each cell on lines of its own, not in columns.
+ALIGNED_LEVELS = 32
+#: Columns begin within so many characters of a line; cells further on follow each other two spaces apart.
+WIDEST = 1000
 
 # A quote opens a value only directly after "="; elsewhere, in unquoted values and without a second one it is an ordinary character.
 _NAMED = r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"([^\"]*+)\"|'([^']*+)'|((?![\"'])[^ \t\n\r\f>]++))?+)?+"
 _ATTRIBUTE = re.compile(_NAMED)
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|{_NAMED})*+)>|<[!?/][^>]*>", re.DOTALL)
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|{_NAMED})*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)")
+_FILL = re.compile(r"[ \t\n\r\f/]*+")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_STYLE = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
+_START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", re.IGNORECASE)
+_SPAN = re.compile(r"\b(colspan|rowspan)\s*=\s*[\"']?\s*(\d{1,5})", re.IGNORECASE)
+_RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.IGNORECASE) for tag in RAW}
 
 
 class Element:
-    __slots__ = ("children", "hidden", "start", "tag")
+    """`gone` elements take no part; text of elements that are not `seen` (visibility) is left out."""
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.hidden, self.start = tag, hidden, start
-        self.children: list[Element | str] = []
+    __slots__ = ("children", "columns", "gone", "level", "lines", "rows", "seen", "start", "tag")
 
+    def __init__(self, tag: str, seen: bool = True, children: list | None = None):
+        self.tag, self.seen, self.gone = tag, seen, False
+        self.children: list[Element | str] = [] if children is None else children
+        self.start, self.columns, self.rows, self.level = 1, 1, 1, 0
+        self.lines: list[str] | None = None
 
-def parse(html: str) -> Element:
+
+class Tags:
+    """The tags of a page in order: (start, end, slash, name, attributes), or no name for comments and the like.
+
+    A tag that has no end before the page's is text. After the first such tag the attributes are read
+    one by one, and places from where no end is reached are remembered, so the time stays linear.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last, self.dead, self.slow = html, html.rfind(">"), set(), False
+
+    def next(self, at: int) -> tuple[int, int, str, str | None, str] | None:
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                return at, len(html) if end < 0 else end + 3, "", None, ""
+            if at > self.last:  # only a comment that never ends may follow
+                at = html.find("<!--", at)
+                return None if at < 0 else (at, len(html), "", None, "")
+            after = html[at + 1 : at + 2]
+            if after in ("!", "?") or after == "/" and not html[at + 2 : at + 3].isalpha():
+                return at, html.find(">", at) + 1, "", None, ""
+            if m := self._slowly(at) if self.slow else self._quickly(at):
+                return m
+            at += 1
+        return None
+
+    def _quickly(self, at: int):
+        m = _TAG.match(self.html, at)
+        if m:
+            return at, m.end(), m[1], m[2].lower(), m[3]
+        self.slow = _NAME.match(self.html, at) is not None
+        return None
+
+    def _slowly(self, at: int):
+        html, m = self.html, _NAME.match(self.html, at)
+        if m is None:
+            return None
+        passed, here = [], m.end()
+        while True:
+            here = _FILL.match(html, here).end()
+            if here >= len(html) or here in self.dead:
+                self.dead.update(passed)
+                return None
+            if html[here] == ">":
+                return at, here + 1, m[1], m[2].lower(), html[m.end() : here]
+            passed.append(here)
+            here = _ATTRIBUTE.match(html, here).end()
+
+
+class Tree:
+    """Open elements, and by tag the places of those among them."""
+
+    def __init__(self):
+        self.stack, self.places, self.tables = [Element("html")], {}, []
+
+    def at(self, tag: str) -> int:
+        """Place of the innermost open element of that tag, else 0."""
+        own = self.places.get(tag)
+        return own[-1] if own else 0
+
+    def open(self, element: Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.stack))
+        self.stack.append(element)
+
+    def cut(self, k: int) -> None:
+        """Closes all from place k on."""
+        for element in self.stack[k:]:
+            self.places[element.tag].pop()
+        del self.stack[k:]
+
+    def put(self, tag: str, seen: bool | None = None) -> Element:
+        parent = self.stack[-1]
+        element = Element(tag, parent.seen if seen is None else seen)
+        parent.children.append(element)
+        if tag == "table":
+            element.level = len(self.places.get("table", ()))
+            self.tables.append(element)
+        return element
+
+    def imply(self, tag: str) -> None:
+        """The ends that a start tag implies, and the row that a cell needs."""
+        if tag in CLOSES:
+            closed, bound = CLOSES[tag]
+            edge = max(map(self.at, bound))
+            if tag in ("li", "dt", "dd", "td", "th"):  # the innermost only
+                k = max(map(self.at, closed))
+            else:
+                k = min((own[n] for own in map(self.places.get, closed) if own and (n := bisect_right(own, edge)) < len(own)), default=0)
+            if k > edge:
+                self.cut(k)
+        if tag in BLOCK and tag not in ("html", "body"):
+            k = self.at("p")
+            if k > max(map(self.at, SCOPE)):
+                self.cut(k)
+        if tag in ("td", "th") and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+            self.open(self.put("tr"))
+
+    def close(self, tag: str) -> None:
+        k = self.at(tag)
+        if k and (tag in FAR_ENDS or k >= max(map(self.at, SCOPE))):
+            self.cut(k)
+        elif tag == "br" and not k:
+            self.put("br")
+
+
+def parse(html: str) -> Tree:
     """The tree of a page; end tags that are left out or too many are supplied or passed over."""
-    root = Element("html")
-    stack, at, end = [root], 0, len(html)
+    tree, tags, at, end = Tree(), Tags(html), 0, len(html)
     while at < end:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            stack[-1].children.append(unescape(html[at:]))
+        found = tags.next(at)
+        begin = end if found is None else found[0]
+        if begin > at:
+            tree.stack[-1].children.append(unescape(html[at:begin]))
+        if found is None:
             break
-        if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if len(stack) >= DEEPEST and (tag in BLOCK or tag in ("td", "th")):
-            stack[-1].children.append("\n")  # no element is opened or closed here, but words stay apart
-        if m[1]:
-            _close(stack, tag)
+        _, at, slash, tag, attributes = found
+        if tag is None or tag == "html" and not slash:
             continue
-        attributes = m[3]
-        if tag == "html":
+        if slash:
+            tree.close(tag)
             continue
-        element = Element(tag, tag in HIDDEN or _hides(tag, attributes))
-        if tag == "ol" and (s := re.search(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", attributes, re.IGNORECASE)):
-            element.start = int(s[1])
-        _imply(stack, tag)
-        if len(stack) < DEEPEST or tag in VOID:
-            stack[-1].children.append(element)
+        tree.imply(tag)
+        gone, seen = _hides(tag, attributes)
+        element = tree.put(tag, seen)
+        element.gone = gone or tag in HIDDEN
+        if tag == "ol" and (m := _START.search(attributes)):
+            element.start = int(m[1])
+        elif tag in ("td", "th"):
+            for name, n in _SPAN.findall(attributes):
+                if name.lower() == "colspan":
+                    element.columns = min(max(int(n), 1), 1000)
+                else:
+                    element.rows = int(n) or end  # 0: to the end of the table
         if tag in RAW:
-            close = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(html, at)
+            close = _RAW_END[tag].search(html, at)
             if tag == "xmp":  # shown as it stands, without tags or references
-                (element if len(stack) < DEEPEST else stack[-1]).children.append(html[at : close.start() if close else end])
+                element.children.append(html[at : close.start() if close else end])
             at = (html.find(">", close.start()) + 1 or end) if close else end
-        elif tag not in VOID and len(stack) < DEEPEST:  # a slash closes no element but the void ones
-            stack.append(element)
-    return root
-
-
-def _imply(stack: list[Element], tag: str) -> None:
-    if tag in CLOSES:
-        closed, bound = CLOSES[tag]
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in bound:
-                break
-            if stack[k].tag in closed:
-                del stack[k:]
-                if tag in ("li", "dt", "dd", "td", "th"):
-                    break
-    if tag in BLOCK and tag not in ("html", "body"):
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == "p":
-                del stack[k:]
-                break
-            if stack[k].tag in SCOPE:
-                break
-    if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-        row = Element("tr")
-        stack[-1].children.append(row)
-        stack.append(row)
-
-
-def _close(stack: list[Element], tag: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if stack[k].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-            return
-    if tag == "br":
-        stack[-1].children.append(Element("br"))
-
-
-def _hides(tag: str, attributes: str) -> bool:
-    if not attributes or attributes == "/":
-        return tag in ("dialog",)
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "style" and _GONE.search(unescape(value)):
-            return True
-    return tag == "dialog" and not re.search(r"(?:^|\s)open(?:[\s=/]|$)", attributes, re.IGNORECASE)
+        elif tag not in VOID:  # a slash closes no element but the void ones
+            tree.open(element)
+    return tree
+
+
+def _hides(tag: str, attributes: str) -> tuple[bool, bool | None]:
+    """Whether the element takes no part, and the visibility that it sets for what is in it, if it does."""
+    gone, seen, opened = False, None, False
+    for m in _ATTRIBUTE.finditer(attributes) if attributes and attributes != "/" else ():
+        name = m[1].lower()
+        if name == "hidden":
+            gone = True
+        elif name == "open":
+            opened = True
+        elif name == "style":
+            for what, value in _STYLE.findall(unescape(m[2] or m[3] or m[4] or "")):  # the last one holds
+                if what.lower() == "visibility":
+                    seen = value.lower() not in ("hidden", "collapse") if value.lower() != "inherit" else None
+                else:
+                    gone = value.lower() == "none"
+    return gone or tag == "dialog" and not opened, seen
 
 
 class Page:
@@ -148,10 +240,11 @@ class Page:
         self.space = False
         self.indent = ""
         self.mark = ""
+        self.tight = 0  # without blank lines while above 0
 
     def break_to(self, gap: int) -> None:
         self.flush()
-        self.gap = max(self.gap, gap)
+        self.gap = max(self.gap, 1 if self.tight else gap)
 
     def flush(self) -> None:
         if self.line:
@@ -193,7 +286,7 @@ class Page:
     def end_line(self) -> None:
         if self.line:
             self.flush()
-        elif self.lines:
+        elif self.lines and not self.tight:
             self.gap += 1
 
     def result(self) -> str:
@@ -202,101 +295,161 @@ class Page:
 
 
 def render(root: Element) -> str:
+    """The text below an element; tables that are laid out in columns have their lines already."""
     page = Page()
-    _walk(root, page, False)
-    return page.result()
-
-
-def _walk(node: Element, page: Page, pre: bool) -> None:
-    number = node.start
-    for child in node.children:
+    # an open element: its children, itself, whether spaces count, the next number of a list, and what its end restores
+    stack = [[iter(root.children), root, False, root.start, None]]
+    while stack:
+        frame = stack[-1]
+        children, node, pre, number, after = frame
+        child = next(children, None)
+        if child is None:
+            stack.pop()
+            if after is not None:
+                gap, indent, tight = after
+                page.tight = tight
+                page.break_to(gap)
+                if indent is not None:
+                    page.indent = indent
+                if node.tag == "li":
+                    page.mark = ""
+            continue
         if isinstance(child, str):
-            if pre:
-                page.literal(child)
-            else:
-                page.text(child)
+            if node.seen:
+                (page.literal if pre else page.text)(child)
             continue
         tag = child.tag
-        if child.hidden:
+        if child.gone:
             continue
         if tag == "br":
             page.end_line()
         elif tag == "table":
             page.break_to(2)
-            for line in _table(child):
-                page.literal(line)
-                page.flush()
-            page.break_to(2)
+            if child.lines is None:  # one cell under the other
+                stack.append([iter([*_stacked(child)]), child, False, 1, (2, None, page.tight)])
+                page.tight += 1
+            else:
+                for line in child.lines:
+                    page.literal(line)
+                    page.flush()
+                page.break_to(2)
         elif tag == "li":
             page.break_to(1)
             bullet = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
-            outer, page.mark = page.indent, page.indent + bullet
-            page.indent = outer + " " * len(bullet)
-            _walk(child, page, pre)
-            page.break_to(1)
-            page.indent, page.mark = outer, ""
+            frame[3] += 1
+            stack.append([iter(child.children), child, pre, child.start, (1, page.indent, page.tight)])
+            page.mark = page.indent + bullet
+            page.indent += " " * len(bullet)
         elif tag in BLOCK:
             gap = 2 if tag in PARAGRAPH and not (tag in ("ul", "ol") and page.indent) else 1
             page.break_to(gap)
-            outer = page.indent
+            stack.append([iter(child.children), child, pre or tag in ("pre", "xmp"), child.start, (gap, page.indent, page.tight)])
             if tag in ("blockquote", "dd"):
                 page.indent += "  "
-            _walk(child, page, pre or tag in ("pre", "xmp"))
-            page.break_to(gap)
-            page.indent = outer
         else:
-            _walk(child, page, pre)
-
-
-def _rows(node: Element) -> Iterator[Element]:
-    for child in node.children:
-        if isinstance(child, Element) and not child.hidden:
-            if child.tag in ("tr", "caption"):
-                yield child
-            elif child.tag in ("tbody", "thead", "tfoot", "colgroup"):
-                yield from _rows(child)
-            elif child.tag != "col":
-                yield child  # what strays into a table is a line of its own
-        elif isinstance(child, str) and child.strip():
-            yield _stray(child)
-
-
-def _stray(text: str) -> Element:
-    stray = Element("caption")
-    stray.children.append(text)
-    return stray
-
-
-def _table(table: Element) -> list[str]:
-    """Cells of a column begin at one place; a cell of several lines takes several lines of its row."""
-    grid: list[list[list[str]] | str] = []
-    for row in _rows(table):
-        if row.tag != "tr":
-            grid.append(render(row))
-            continue
-        grid += [render(_stray(c)) for c in row.children if isinstance(c, str) and c.strip()]  # above the row, as browsers show it
-        grid.append([render(c).split("\n") for c in row.children if isinstance(c, Element) and not c.hidden])
-    width: dict[int, int] = {}
-    for row in grid:
-        if not isinstance(row, str) and len(row) > 1:
-            for k, cell in enumerate(row):
-                width[k] = max(width.get(k, 0), max(map(len, cell)))
-    out: list[str] = []
-    for row in grid:
-        if isinstance(row, str):
-            out += row.split("\n") if row else []
+            stack.append([iter(child.children), child, pre, child.start, None])
+    return page.result()
+
+
+def _rows(table: Element) -> Iterator[tuple[Element, list[Element] | None]]:
+    """Boxes of a table that are lines of their own, and rows with their cells; text beside cells stands above the row, as browsers show it."""
+    stack = [(iter(table.children), table)]
+    while stack:
+        children, node = stack[-1]
+        child = next(children, None)
+        if child is None:
+            stack.pop()
+        elif isinstance(child, str):
+            if child.strip():
+                yield Element("div", node.seen, [child]), None
+        elif child.gone or child.tag == "col":
             continue
-        for n in range(max(map(len, row), default=0)):
-            line = "  ".join((cell[n] if n < len(cell) else "").ljust(width.get(k, 0)) for k, cell in enumerate(row)).rstrip()
-            if line:
-                out.append(line)
+        elif child.tag == "tr":
+            for c in child.children:
+                if isinstance(c, str) and c.strip():
+                    yield Element("div", child.seen, [c]), None
+            yield child, [c for c in child.children if isinstance(c, Element) and not c.gone]
+        elif child.tag in ("tbody", "thead", "tfoot", "colgroup"):
+            stack.append((iter(child.children), child))
+        else:
+            yield Element("div", child.seen, child.children if child.tag == "caption" else [child]), None
+
+
+def _stacked(table: Element) -> Iterator[Element]:
+    for box, cells in _rows(table):
+        if cells is None:
+            yield box
+        else:
+            yield from (Element("div", c.seen, c.children) for c in cells)
+
+
+def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Neighbouring columns that are held equally long become one span."""
+    out: list[tuple[int, int, int]] = []
+    for start, stop, last in spans:
+        if out and out[-1][1] == start and out[-1][2] == last:
+            out[-1] = (out[-1][0], stop, last)
+        else:
+            out.append((start, stop, last))
     return out
 
 
+def _lay_out(table: Element) -> None:
+    """Lines of a table with several cells in a row: columns begin at one place, cells of several lines or rows keep theirs."""
+    rows = list(_rows(table))
+    if table.level > ALIGNED_LEVELS or not any(cells and len(cells) > 1 for _, cells in rows):
+        return
+    held: list[tuple[int, int, int]] = []  # columns from, to, and the last row for which cells from above hold them
+    grid: list[list[tuple[int, int, list[str]]] | str] = []
+    for box, cells in rows:
+        if cells is None:
+            grid.append(render(box))
+            continue
+        line, column, k, row, below = [], 0, 0, len(grid), []
+        for c in cells:
+            while k < len(held) and held[k][0] <= column:
+                column = max(column, held[k][1])
+                k += 1
+            line.append((column, column + c.columns, render(c).split("\n")))
+            if c.rows > 1:
+                below.append((column, column + c.columns, row + c.rows - 1))
+            column += c.columns
+        grid.append(line)
+        if below or any(last == row for _, _, last in held):
+            held = _joined(sorted([x for x in held if x[2] > row] + below))
+    starts = sorted({start for line in grid if not isinstance(line, str) for start, _, _ in line})
+    ends: dict[int, list[tuple[int, int]]] = {}  # first column behind a cell: where the cell begins, how wide it is
+    for line in grid:
+        for start, stop, cell in line if not isinstance(line, str) and len(line) > 1 else ():
+            if (k := bisect_left(starts, stop)) < len(starts):
+                ends.setdefault(starts[k], []).append((start, max(map(len, cell))))
+    place, here = {}, 0
+    for start in starts:
+        for before, width in ends.get(start, ()):
+            here = max(here, place[before] + width + 2)
+        place[start] = min(here, WIDEST)
+    table.lines = []
+    for line in grid:
+        if isinstance(line, str):
+            table.lines += filter(None, line.split("\n"))
+            continue
+        for n in range(max((len(cell) for _, _, cell in line), default=0)):
+            text = ""
+            for start, _, cell in line:
+                if n < len(cell) and cell[n]:
+                    text = text.ljust(place[start] if len(text) + 2 <= place[start] or not text else len(text) + 2) + cell[n]
+            if text.rstrip():
+                table.lines.append(text.rstrip())
+
+
 def extract(html: str | None) -> str:
     """All visible text of a page; null and blank pages give empty text."""
-    return render(parse(html)) if html else ""
+    if not html:
+        return ""
+    tree = parse(html)
+    for table in reversed(tree.tables):  # inner ones first
+        _lay_out(table)
+    return render(tree.stack[0])
 
 
 def extract_pages(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
@@ -305,10 +458,13 @@ def extract_pages(pages: DataFrame, id_column: str = "page_id", html_column: str
     Where each block starts and ends stays to be seen: paragraphs, headings, lists and tables stand
     apart by a blank line, other blocks by a line end, list items have a bullet or number and indent,
     cells are aligned by column, preformatted text keeps its spaces. Hidden is what HTML never shows
-    (head, scripts, styles, templates, form choices), the hidden attribute, and style display none or
-    visibility hidden. Defined results: null or empty pages give empty text; tags left open, unknown
-    or nested beyond DEEPEST lose no text; repeated rows get the same result each; other columns are
-    ignored. One narrow pass, no shuffle.
+    (head, scripts, styles, templates, form choices), the hidden attribute, style display none, and
+    visibility hidden, unless an element inside is visible again. Cells that span columns or rows keep
+    the others in their places. Defined results: null or empty pages give empty text; tags left open,
+    unknown or nested however deep lose no text (only tables inside more than ALIGNED_LEVELS others
+    are not laid out in columns); a tag without its end is text; time grows in proportion to a page's
+    length; an empty table gives an empty result; repeated rows get the same result each; other
+    columns, whatever their names, are ignored. One narrow pass, no shuffle.
     """
     small_batches(pages.sparkSession)
 
