@@ -32,8 +32,11 @@ def pad(text: str) -> str:
 
 
 class EnglishTokenizer:
-    def __init__(self, abbreviations: Iterable[str] = ()):
-        self.abbreviations = frozenset(abbreviations)
+    """Remembers how words are cut; of more than `most` it starts anew, so its memory is bounded."""
+
+    def __init__(self, abbreviations: Iterable[str] = (), most: int = 200_000):
+        self.abbreviations, self.most = frozenset(abbreviations), most
+        self.known: dict[str, list[str]] = {}
 
     def tokenize(self, text: str) -> list[str]:
         out: list[str] = []
@@ -42,7 +45,12 @@ class EnglishTokenizer:
                 out.append(part)
             else:
                 for word in pad(part).split():
-                    out += self.split_word(word)
+                    cut = self.known.get(word)
+                    if cut is None:
+                        if len(self.known) >= self.most:
+                            self.known.clear()
+                        cut = self.known[word] = self.split_word(word)
+                    out += cut
         return out
 
     def split_word(self, word: str) -> list[str]:
@@ -93,13 +101,14 @@ class EnglishTokenizer:
 def align(tokens: Iterable[str], text: str) -> list[tuple[int, int]]:
     """UTF-8 byte spans by a forward search from the last one; a token that isn't found gets an empty span."""
     spans, at, byte = [], 0, 0
+    plain = text.isascii()  # then bytes are characters
     for token in tokens:
         found = text.find(token, at)
         if found < 0 or not token:
             spans.append((byte, byte))
             continue
-        start = byte + len(text[at:found].encode())
-        byte = start + len(token.encode())
+        start = found if plain else byte + len(text[at:found].encode())
         at = found + len(token)
+        byte = at if plain else start + len(token.encode())
         spans.append((start, byte))
     return spans

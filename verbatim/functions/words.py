@@ -47,6 +47,15 @@ def _let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+def each(df: DataFrame, array: Column | str, *keep: str) -> DataFrame:
+    """One row an element: the kept columns, position, value.
+
+    Rows without elements go after the explode: a filter before it, which Spark infers for a plain
+    explode, would be pushed down with the whole tokenising, which would then run twice.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias("position", "value")).where(F.col("position").isNotNull())
+
+
 def collocate_words(text: Column) -> Column:
     """White-space parts, trimmed of other than letters and numbers, lower-cased; without single bytes and plain numbers."""
     parts = F.transform(F.split(text, r"\s+"), lambda t: F.lower(F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))

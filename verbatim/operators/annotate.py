@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.english import EnglishTokenizer, align
-from ..functions.words import with_spans
+from ..functions.words import each, with_spans
 from ..schema import TOKEN
 from .tagger import Model
 
@@ -69,7 +69,7 @@ def english_tokens(docs: DataFrame, abbreviations: list[str] | None = None) -> D
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: tokenizer.tokenize(t or ""))
 
-    return docs.select("doc_id", F.posexplode(split("text")).alias("position", "word"))
+    return each(docs, split("text"), "doc_id").withColumnRenamed("value", "word")
 
 
 def tag_by_lexicon(tokens: DataFrame, lexicon: DataFrame, bound: int = 64 << 20) -> DataFrame:
@@ -97,8 +97,8 @@ def tag_by_lexicon(tokens: DataFrame, lexicon: DataFrame, bound: int = 64 << 20)
 def tag_by_suffix(tokens: DataFrame, suffixes: DataFrame, longest: int = 6, default: str = "NN") -> DataFrame:
     """Longest known suffix as an equi-join: each distinct word's suffixes against suffixes(suffix, tag)."""
     w = tokens.select(F.lower("word").alias("__w")).distinct()
-    each = w.select("__w", F.explode(F.expr(f"transform(sequence(1, least(length(__w), {longest})), n -> right(__w, n))")).alias("suffix"))
-    best = each.join(suffixes, "suffix").groupBy("__w").agg(F.max_by("tag", F.length("suffix")).alias("__t"))
+    endings = w.select("__w", F.explode(F.expr(f"transform(sequence(1, least(length(__w), {longest})), n -> right(__w, n))")).alias("suffix"))
+    best = endings.join(suffixes, "suffix").groupBy("__w").agg(F.max_by("tag", F.length("suffix")).alias("__t"))
     return tokens.join(best, F.lower("word") == F.col("__w"), "left").withColumn("pos", F.coalesce("__t", F.lit(default))).drop("__w", "__t")
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.words import is_collocate, pos_family, preference, trimmed_lower
+from ..functions.words import each, is_collocate, pos_family, preference, trimmed_lower
 from ..schema import COLLOCATE_HITS, MAX_COLLOCATES, MAX_WINDOW
-from .kwic import hit_positions
+from .kwic import found_hits, hit_positions
 
 
 def windows(corpus: DataFrame, term: str, layer: str = "word", left: int = 5, right: int = 5, max_hits: int | None = COLLOCATE_HITS) -> DataFrame:
@@ -20,17 +20,17 @@ def windows(corpus: DataFrame, term: str, layer: str = "word", left: int = 5, ri
     if left < 0 or right < 0 or left + right == 0:
         raise ValueError("both windows are empty")
     reach = max(left, right, 1)
-    hits = corpus.select("doc_id", F.col("tokens.word").alias("__w"), F.explode(hit_positions(corpus, term, layer)).alias("position"))
-    if max_hits is not None:
-        first = hits.select("doc_id", "position").orderBy("doc_id", "position").limit(max_hits)
-        hits = hits.join(F.broadcast(first), ["doc_id", "position"])  # max_hits rows at most
-    sides = hits.select(
+    slices = found_hits(corpus, term, layer).select(
+        "doc_id", "position",
         F.expr(f"slice(__w, greatest(position - {reach}, 0) + 1, least(position, {reach}))").alias("l"),
         F.expr(f"slice(__w, position + 2, {reach})").alias("r"),
-    ).select(*[F.filter(F.transform(c, trimmed_lower), is_collocate).alias(c) for c in ("l", "r")])
+    )
+    if max_hits is not None:
+        slices = slices.orderBy("doc_id", "position").limit(max_hits)  # a top-k on each task
+    sides = slices.select(*[F.filter(F.transform(c, trimmed_lower), is_collocate).alias(c) for c in ("l", "r")])
     cut = sides.select(F.expr(f"slice(l, greatest(size(l) - {left}, 0) + 1, {left})").alias("l"), F.expr(f"slice(r, 1, {right})").alias("r"))
     tagged = F.concat(*[F.expr(f"transform({c}, w -> named_struct('side', '{c}', 'word', w))") for c in ("l", "r")])
-    return cut.select(F.explode(tagged).alias("x")).select("x.side", "x.word")
+    return each(cut, tagged).select("value.side", "value.word")
 
 
 def collocates(corpus: DataFrame, term: str, layer: str = "word", left: int = 5, right: int = 5, limit: int = 50, max_hits: int | None = COLLOCATE_HITS) -> DataFrame:
@@ -60,7 +60,7 @@ def summary(corpus: DataFrame, term: str, layer: str = "word", left: int = 5, ri
 def scored(corpus: DataFrame, term: str, left: int = 5, right: int = 5, min_total: int = 2) -> DataFrame:
     """Published scores in place of the stand-in: logDice, MI and z over the corpus's own frequencies."""
     counted = windows(corpus, term, "word", left, right, None).groupBy("word").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= min_total)
-    freq = corpus.select(F.explode("tokens.word").alias("w")).groupBy(trimmed_lower(F.col("w")).alias("word")).agg(F.count(F.lit(1)).alias("freq"))
+    freq = corpus.select(F.explode_outer("tokens.word").alias("w")).where(F.col("w").isNotNull()).groupBy(trimmed_lower(F.col("w")).alias("word")).agg(F.count(F.lit(1)).alias("freq"))
     whole = freq.agg(F.sum("freq").alias("n"), F.coalesce(F.sum(F.when(F.col("word") == term.lower(), F.col("freq"))), F.lit(0)).alias("node"))
     x = counted.join(freq, "word").crossJoin(F.broadcast(whole))  # one row
     expected = F.col("node") * F.col("freq") * (left + right) / F.col("n")

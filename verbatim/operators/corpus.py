@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schema import CORPUS, DEFAULT_CONTEXT, CorpusMeta
+from ..schema import COLLOCATE_HITS, CORPUS, DEFAULT_CONTEXT, CorpusMeta, KwicRequest
 from ..sources import catalog
 from . import collocates as _collocates
 from . import frequency as _frequency
@@ -101,8 +101,13 @@ class Corpus:
     def kwic(self, term: str, layer: str = "word", context: int = DEFAULT_CONTEXT, limit: int | None = None) -> DataFrame:
         return _kwic.kwic(self.df, term, layer, context, limit)
 
-    def collocates(self, term: str, layer: str = "word", left: int = 5, right: int = 5, limit: int = 50) -> DataFrame:
-        return _collocates.collocates(self.df, term, layer, left, right, limit)
+    def collocates(self, term: str, layer: str = "word", left: int = 5, right: int = 5, limit: int = 50, max_hits: int | None = COLLOCATE_HITS) -> DataFrame:
+        """Over the first `max_hits` hits by (doc_id, position); None counts all."""
+        return _collocates.collocates(self.df, term, layer, left, right, limit, max_hits)
+
+    def run(self, request: KwicRequest) -> DataFrame:
+        """A request as a client sends it: term, layer, context and limit are brought within the interactive bounds."""
+        return _kwic.run(self.df, request.interactive())
 
     def frequency(self, layer: str = "word", limit: int | None = None) -> DataFrame:
         return _frequency.frequency(self.df, layer, limit=limit)

@@ -13,7 +13,7 @@ def frequency(corpus: DataFrame, layer: str = "word", by: list[str] | None = Non
     by = by or []
     value = F.col("__t") if layer == "pos" else F.lower("__t")
     counts = (
-        corpus.select(*by, F.explode(f"tokens.{layer}").alias("__t"))
+        corpus.select(*by, F.explode_outer(f"tokens.{layer}").alias("__t"))
         .where(F.col("__t").isNotNull() & (F.col("__t") != ""))
         .groupBy(*by, value.alias(layer))
         .agg(F.count(F.lit(1)).alias("count"))
@@ -54,7 +54,7 @@ def stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def vocabulary(corpus: DataFrame, approximate: bool = False) -> DataFrame:
     """One row: exact numbers of tokens and of distinct lower-cased words."""
-    w = corpus.select(F.explode("tokens.word").alias("w")).select(F.lower("w").alias("w"))
+    w = corpus.select(F.explode_outer("tokens.word").alias("w")).select(F.lower("w").alias("w"))
     return w.agg(F.count("w").alias("tokens"), (F.approx_count_distinct("w") if approximate else F.count_distinct("w")).alias("types"))
 
 

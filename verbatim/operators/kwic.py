@@ -31,20 +31,23 @@ def hit_positions(corpus: DataFrame, term: str, layer: str = "word") -> Column:
     return F.filter(at, lambda i: i >= 0)
 
 
+def found_hits(corpus: DataFrame, term: str, layer: str, *more: str) -> DataFrame:
+    """One row a hit: doc_id, the document's words `__w`, position, and further columns."""
+    hits = corpus.select("doc_id", *more, F.col("tokens.word").alias("__w"), F.explode_outer(hit_positions(corpus, term, layer)).alias("position"))
+    return hits.where(F.col("position").isNotNull())
+
+
 def kwic(corpus: DataFrame, term: str, layer: str = "word", context: int = DEFAULT_CONTEXT, limit: int | None = None) -> DataFrame:
     """One line a hit: doc_id, path, position, left, hit, right.
 
     A narrow plan: positions are filtered inside each document's token array, exploded, and the
-    contexts are slices of the same array, cut off at the document's ends. With a limit the first
-    hits by (doc_id, position) stay, by a top-k on each task.
+    contexts are slices of the same array, cut off at the document's ends. Documents without hits go
+    after the explode, as a filter before it would be pushed down and tokenise the text a second
+    time. With a limit the first hits by (doc_id, position) stay, by a top-k on each task.
     """
     if context < 0:
         raise ValueError("context is negative")
-    hits = (
-        corpus.select("doc_id", "path", F.col("tokens.word").alias("__w"), hit_positions(corpus, term, layer).alias("__p"))
-        .where(F.size("__p") > 0)
-        .select("doc_id", "path", "__w", F.explode("__p").alias("position"))
-    )
+    hits = found_hits(corpus, term, layer, "path")
     lines = hits.select(
         "doc_id", "path", "position",
         F.expr(f"array_join(slice(__w, greatest(position - {context}, 0) + 1, least(position, {context})), ' ')").alias("left"),
@@ -71,8 +74,11 @@ def kwic_by_windows(tokens: DataFrame, term: str, context: int = DEFAULT_CONTEXT
     )
 
 
-def sort_lines(lines: DataFrame, mode: str = "right1", descending: bool = False) -> DataFrame:
-    """Orders lines by the last word of the left context, the first of the right one, or the document; descending reverses ties too."""
+def sort_lines(lines: DataFrame, mode: str = "right1", descending: bool = False, collation: str | None = None) -> DataFrame:
+    """Orders lines by the last word of the left context, the first of the right one, or the document; descending reverses ties too.
+
+    A collation, such as UNICODE or a locale's, orders words as that language does; without one code points decide.
+    """
     if mode == "left1":
         key = F.lower(F.element_at(F.split(F.trim("left"), r"\s+"), -1))
     elif mode == "right1":
@@ -81,10 +87,15 @@ def sort_lines(lines: DataFrame, mode: str = "right1", descending: bool = False)
         key = F.col("doc_id").cast("string")
     else:
         raise ValueError(f"unknown order {mode!r}")
-    order = [key, F.col("doc_id"), F.col("position")]
+    order = [key if collation is None else F.collate(key, collation), F.col("doc_id"), F.col("position")]
     return lines.orderBy(*[x.desc() if descending else x.asc() for x in order])
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """Adds `row`, the line's place from 1 by (doc_id, position). For lines under a limit, which one task holds."""
+    return lines.select(F.expr("row_number() OVER (ORDER BY doc_id, position)").alias("row"), "*")
+
+
 def truncated(n_hits: int, limit: int) -> bool:
     """As the interactive client says it: true also when there are exactly as many hits."""
     return n_hits == limit
@@ -105,8 +116,9 @@ def density(lines: DataFrame, buckets: int = 60) -> DataFrame:
 
 def dispersion(corpus: DataFrame, term: str, layer: str = "word", marks: int = 100) -> DataFrame:
     """Hits by document and hundredth of the document."""
+    hits = corpus.select("doc_id", F.size("tokens").alias("__n"), F.explode_outer(hit_positions(corpus, term, layer)).alias("position"))
     return (
-        corpus.select("doc_id", F.size("tokens").alias("__n"), F.explode(hit_positions(corpus, term, layer)).alias("position"))
+        hits.where(F.col("position").isNotNull())
         .groupBy("doc_id", F.expr(f"cast(floor(position * {marks} / __n) as int)").alias("mark"))
         .agg(F.count(F.lit(1)).alias("hits"))
     )

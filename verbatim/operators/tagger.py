@@ -32,6 +32,8 @@ class Forest:
     def __init__(self, trees: list[list[Node]], mix: float = 0.80):
         self.trees, self.mix = trees, mix
         self.known: dict[tuple[int, ...], np.ndarray] = {}
+        self.logs: dict[tuple[int, ...], list[float | None]] = {}
+        self.mean: np.ndarray | None = None
 
     @staticmethod
     def from_preorder(records: list[tuple], start: int = 0) -> list[Node]:
@@ -96,9 +98,11 @@ class Forest:
         return share * leaf.probs + (1 - share) * mean
 
     def marginal(self) -> np.ndarray:
-        """P(tag): the leaves' mean by weight."""
-        leaves = [n for t in self.trees for n in t if n.probs is not None]
-        return normalize(sum(n.weight * n.probs for n in leaves))
+        """P(tag): the leaves' mean by weight, computed once."""
+        if self.mean is None:
+            leaves = [n for t in self.trees for n in t if n.probs is not None]
+            self.mean = normalize(sum(n.weight * n.probs for n in leaves))
+        return self.mean
 
 
 def normalize(x) -> np.ndarray:
@@ -152,6 +156,19 @@ class Model:
 
     def __post_init__(self):
         self.ids = {t: i for i, t in enumerate(self.tags)}
+        self.met: dict[str, tuple] = {}
+
+    def options(self, words: list[str], most: int = 200_000) -> list[tuple]:
+        """Each word's prepared candidates; those of words met before are kept, in bounded number."""
+        out = []
+        for word in words:
+            found = self.met.get(word)
+            if found is None:
+                if len(self.met) >= most:
+                    self.met.clear()
+                found = self.met[word] = prepared(self.candidates(word), self.threshold)
+            out.append(found)
+        return out
 
     def candidates(self, word: str) -> list[tuple[int, float, str | None]]:
         """(tag, probability, lemma) of a word; the first rule that fits wins."""
@@ -181,11 +198,11 @@ class Model:
 
     def tag(self, words: list[str]) -> list[tuple[str | None, str | None]]:
         """(tag, lemma) of each word; one decoding over all of them."""
-        options = [self.candidates(w) for w in words]
+        options = self.options(words)
         if self.forest is None:
-            chosen = [best(x) for x in options]
+            chosen = [likeliest for _, likeliest in options]
         else:
-            chosen = viterbi(options, self.forest, self.ids.get(SENT, 0), self.forest.marginal(), self.threshold)
+            chosen = decode(options, self.forest, self.ids.get(SENT, 0), self.forest.marginal())
         return [(self.tags[t], lemma) for t, _, lemma in chosen]
 
 
@@ -225,34 +242,46 @@ def best(options: list[tuple]) -> tuple:
     return max(enumerate(options), key=lambda x: (x[1][1], x[0]))[1]
 
 
+def prepared(cands: list[tuple], threshold: float) -> tuple[list[tuple[int, float, tuple]], tuple]:
+    """Candidates within `threshold` of the likeliest as (tag, ln P, candidate), and the likeliest itself."""
+    floor = threshold * max(p for _, p, _ in cands)
+    return [(c[0], log(c[1]), c) for c in cands if c[1] >= floor and c[1] > 0], best(cands)
+
+
 def viterbi(options: list[list[tuple]], forest: Forest, sent: int, prior: np.ndarray, threshold: float = 0.001) -> list[tuple]:
     """The best path by sum of ln P(t|w) + ln P(t|context) - ln P(t), over states of the last two tags.
 
     Candidates below `threshold` of the word's best are dropped; where no step is possible the word's
     likeliest candidate follows the best state so far.
     """
+    return decode([prepared(c, threshold) for c in options], forest, sent, prior)
+
+
+def decode(words: list[tuple[list[tuple[int, float, tuple]], tuple]], forest: Forest, sent: int, prior: np.ndarray) -> list[tuple]:
+    """viterbi over prepared candidates; a state's logarithms are taken once, whatever the number of words."""
     scores: dict[tuple[int, int], float] = {(sent, sent): 0.0}
     steps: list[dict[tuple[int, int], tuple[tuple[int, int], tuple]]] = []
-    for cands in options:
-        floor = threshold * max(p for _, p, _ in cands)
-        kept = [c for c in cands if c[1] >= floor]
+    less, logs = [log(x) if x > 0 else 0.0 for x in prior], forest.logs
+    for kept, likeliest in words:
         after: dict[tuple[int, int], float] = {}
         came: dict[tuple[int, int], tuple] = {}
         for state, score in scores.items():
-            given = forest.predict(state)
-            for cand in kept:
-                tag, p, _ = cand
-                if p <= 0 or given[tag] <= 0:
+            given = logs.get(state)
+            if given is None:
+                given = logs[state] = [log(x) if x > 0 else None for x in forest.predict(state)]
+            last = state[1]
+            for tag, p, cand in kept:
+                g = given[tag]
+                if g is None:
                     continue
-                s = score + log(p) + log(given[tag]) - (log(prior[tag]) if prior[tag] > 0 else 0.0)
-                to = (state[1], tag)
+                s = score + p + g - less[tag]
+                to = (last, tag)
                 if to not in after or s > after[to]:
                     after[to], came[to] = s, (state, cand)
         if not after:
             state = max(scores, key=scores.get)
-            cand = best(cands)
-            to = (state[1], cand[0])
-            after, came = {to: scores[state]}, {to: (state, cand)}
+            to = (state[1], likeliest[0])
+            after, came = {to: scores[state]}, {to: (state, likeliest)}
         scores = after
         steps.append(came)
     out: list[tuple] = []

@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import words as W
+from ..functions.words import each
 from ..operators import annotate, collocates, evaluate, frequency, kwic
 from ..operators.corpus import Corpus
 from ..operators.tagger import Forest, Model
+from ..schema import KwicRequest
+from ..sources.catalog import shared_path
 from ..sources.text import clean_tags, from_table
 
+#: Bytes of a full row group, the least that a scan can split a file into.
+ROW_GROUP = 128 << 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -28,9 +33,10 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of a few row groups is dealt to all cores first; one of many is read as it is."""
+    """A table that may have fewer row groups than there are cores is dealt to all of them first; a larger one is read as it is."""
     docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
-    return from_table(docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return from_table(docs.repartition(cores) if size < cores * ROW_GROUP else docs)
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
@@ -57,7 +63,7 @@ SELECT doc_id, path, CAST(position AS INTEGER) AS position,
 
 @query(f"WITH {_T} SELECT doc_id, CAST(unnest(range(0, len(toks))) AS INTEGER) AS position, unnest(toks) AS word FROM t")
 def tokenize_words(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(W.words("text")).alias("position", "word"))
+    return _tokens(spark, sf_dir).select("doc_id", "position", "word")
 
 
 @query(f"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '(?s)(.*?)({_RE})', 1) AS g, regexp_extract_all(text, '(?s)(.*?)({_RE})', 2) AS w FROM documents),
@@ -67,7 +73,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
 FROM c WHERE regexp_matches(w, '[\\p{{L}}\\p{{N}}]')""")
 def token_offsets(spark, sf_dir):
     spans = W.with_spans(_docs(spark, sf_dir))
-    return spans.select("doc_id", F.posexplode("tokens").alias("position", "t")).select("doc_id", "position", "t.word", "t.byte_start", "t.byte_end")
+    return each(spans, "tokens", "doc_id").select("doc_id", "position", "value.word", "value.byte_start", "value.byte_end")
 
 
 @query(_lines("the", 7))
@@ -280,24 +286,27 @@ def _lexicon(spark: SparkSession) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", "path", "lang", F.posexplode(W.words("text")).alias("position", "word"))
+    return each(_docs(spark, sf_dir), W.words("text"), "doc_id", "path", "lang").withColumnRenamed("value", "word")
 
 
 def _suffix_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.tag_by_suffix(_tokens(spark, sf_dir), spark.createDataFrame(SUFFIXES, "suffix string, tag string"))
 
 
-def _suffix_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same tags inside token arrays, by a lookup in a literal map: no shuffle."""
-    table = F.create_map(*[F.lit(x) for pair in SUFFIXES for x in pair])
-    ending = "^.*?(" + "|".join(s for s, _ in SUFFIXES) + ")$"  # the shortest start leaves the longest suffix
+def _suffix_corpus(spark: SparkSession, sf_dir: str, layer: str) -> DataFrame:
+    """Token arrays with the words and the one layer that a query reads; the same tags, longest suffix first: no shuffle."""
 
-    def token(w):
-        low = F.lower(w)
-        lemma = F.regexp_replace(low, "(ing|ed|ly|s)$", "")
-        return F.struct(w.alias("word"), lemma.alias("lemma"), F.coalesce(F.try_element_at(table, F.regexp_extract(low, ending, 1)), F.lit("NN")).alias("pos"))
+    def tag(low):
+        out = F
+        for suffix, name in sorted(SUFFIXES, key=lambda x: -len(x[0])):
+            out = out.when(low.endswith(suffix), name)
+        return out.otherwise("NN")
 
-    return _docs(spark, sf_dir).withColumn("tokens", F.transform(W.words("text"), token))
+    def token(word, low):
+        return F.struct(word.alias("word"), (tag(low) if layer == "pos" else F.regexp_replace(low, "(ing|ed|ly|s)$", "")).alias(layer))
+
+    words = _docs(spark, sf_dir).withColumn("__w", W.words("text"))
+    return words.withColumn("tokens", F.zip_with("__w", F.transform("__w", F.lower), token)).drop("__w")
 
 
 @query(f"WITH {_TOK_SQL}, {_BY_LEX} SELECT doc_id, position, word, pos, lemma FROM g")
@@ -312,12 +321,12 @@ def suffix_tag(spark, sf_dir):
 
 @query(f"""WITH {_TOK_SQL}, {_BY_SUF} SELECT pos, count(*) AS "count", round(100::DOUBLE * count(*) / (SELECT count(*) FROM x), 6) AS pct FROM x GROUP BY pos""")
 def pos_frequency(spark, sf_dir):
-    return _rounded(frequency.frequency(_suffix_corpus(spark, sf_dir), "pos"), "pct")
+    return _rounded(frequency.frequency(_suffix_corpus(spark, sf_dir, "pos"), "pos"), "pct")
 
 
 @query(f"""WITH {_TOK_SQL}, {_BY_SUF} SELECT CASE WHEN pos LIKE 'NN%' THEN 'noun' WHEN pos LIKE 'VB%' OR pos LIKE 'MD%' THEN 'verb' WHEN pos LIKE 'JJ%' THEN 'adj' WHEN pos LIKE 'RB%' THEN 'adv' ELSE 'function' END AS family, count(*) AS n FROM x GROUP BY 1""")
 def pos_families(spark, sf_dir):
-    return _suffix_corpus(spark, sf_dir).select(F.explode("tokens.pos").alias("p")).groupBy(W.pos_family(F.col("p")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    return _suffix_corpus(spark, sf_dir, "pos").select(F.explode_outer("tokens.pos").alias("p")).where("p IS NOT NULL").groupBy(W.pos_family(F.col("p")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _LAYERED = """p AS (SELECT doc_id, path, position, word, {value} AS v FROM {table}),
@@ -328,12 +337,12 @@ SELECT doc_id, path, CAST(position AS INTEGER) AS position, array_to_string(ws[g
 
 @query(f"WITH {_TOK_SQL}, {_BY_SUF}, {_LAYERED.format(value='pos', table='x', term='RB')}")
 def kwic_pos(spark, sf_dir):
-    return kwic.kwic(_suffix_corpus(spark, sf_dir), "RB", "pos", 4)
+    return kwic.kwic(_suffix_corpus(spark, sf_dir, "pos"), "RB", "pos", 4)
 
 
 @query(f"WITH {_TOK_SQL}, " + _LAYERED.format(value="regexp_replace(lower(word), '(ing|ed|ly|s)$', '')", table="k", term="on"))
 def kwic_lemma(spark, sf_dir):
-    return kwic.kwic(_suffix_corpus(spark, sf_dir), "ON", "lemma", 4)
+    return kwic.kwic(_suffix_corpus(spark, sf_dir, "lemma"), "ON", "lemma", 4)
 
 
 @query(f"""WITH {_TOK_SQL}, {_BY_LEX}, {_BY_SUF},
@@ -355,7 +364,7 @@ def english_tokenize(spark, sf_dir):
 @query()
 def viterbi_tag(spark, sf_dir):
     corpus = annotate.TreeAnnotator(sample_model(), ["Mr.", "etc."]).annotate(_docs(spark, sf_dir))
-    return corpus.select("doc_id", F.posexplode("tokens").alias("position", "t")).select("doc_id", "position", "t.word", "t.pos", "t.lemma", "t.byte_start", "t.byte_end")
+    return each(corpus, "tokens", "doc_id").select("doc_id", "position", "value.word", "value.pos", "value.lemma", "value.byte_start", "value.byte_end")
 
 
 def sample_model() -> Model:
@@ -386,7 +395,7 @@ def slugify(spark, sf_dir):
 @query("""WITH a AS (SELECT doc_id, unnest(list_transform(string_split_regex(text, '\\s+'), lambda w: lower(regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')))) AS word FROM documents)
 SELECT word, count(*) AS n FROM a WHERE strlen(word) >= 2 AND NOT regexp_full_match(word, '[0-9]+') GROUP BY word""")
 def collocate_words(spark, sf_dir):
-    return _docs(spark, sf_dir).select(F.explode(W.collocate_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return each(_docs(spark, sf_dir), W.collocate_words(F.col("text"))).select(F.col("value").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT doc_id, CASE WHEN lemma IN ('', '<unknown>') THEN NULL ELSE lemma END AS lemma, pos
@@ -419,7 +428,86 @@ def sql_kwic(spark, sf_dir):
     return spark.sql("SELECT * FROM registered_corpus_kwic('was', 6)")
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The documents as a stored corpus, built once a session and opened for each query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = shared_path(spark, "corpus")
+        Corpus.build(_docs(spark, sf_dir), path)
+        _stored[key] = path
+    return Corpus.open(spark, _stored[key])
+
+
 @query(_lines("in", 7))
 def kwic_persisted(spark, sf_dir):
-    """Through the full corpus table with spans, as a stored corpus would be read."""
-    return Corpus.from_documents(_docs(spark, sf_dir)).kwic("in")
+    return stored(spark, sf_dir).kwic("in")
+
+
+@query(_lines("blend", 7))
+def kwic_persisted_rare(spark, sf_dir):
+    return stored(spark, sf_dir).kwic("blend")
+
+
+@query(_lines("the", 7, tail="ORDER BY doc_id, position LIMIT 50"))
+def kwic_persisted_limit(spark, sf_dir):
+    return stored(spark, sf_dir).run(KwicRequest("the", context=0))  # a client's request: context 0 is the default one
+
+
+@query(_collocates_sql("the", 5, 5, 50, _ALL))
+def collocates_persisted_all(spark, sf_dir):
+    return _rounded(stored(spark, sf_dir).collocates("the", max_hits=None), "log_dice", "mi", "z")
+
+
+@query(f"""WITH {_T}, c AS (SELECT lower(w) AS word, count(*) AS "count" FROM (SELECT unnest(toks) AS w FROM t) GROUP BY 1)
+SELECT word, "count", round(100::DOUBLE * "count" / (SELECT sum("count") FROM c), 6) AS pct FROM c""")
+def freq_persisted(spark, sf_dir):
+    return _rounded(stored(spark, sf_dir).frequency(), "pct")
+
+
+@query(f"""WITH {_T}, p AS (SELECT doc_id, len(toks) AS n, unnest(list_filter(range(0, len(toks)), lambda i: lower(toks[i + 1]) = 'of')) AS position FROM t)
+SELECT doc_id, CAST(floor(position * 100::DOUBLE / n) AS INTEGER) AS mark, count(*) AS hits FROM p GROUP BY 1, 2""")
+def dispersion_persisted(spark, sf_dir):
+    return stored(spark, sf_dir).dispersion("of")
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY doc_id, position) AS INTEGER) AS row, * FROM ({_lines('was', 7, tail='ORDER BY doc_id, position LIMIT 80')})")
+def kwic_numbered(spark, sf_dir):
+    return kwic.numbered(kwic.kwic(_corpus(spark, sf_dir), "was", limit=80))
+
+
+@query(f"SELECT word, left_count, right_count, total FROM ({_collocates_sql('of', 2, 4, 1_000_000, _ALL)})")
+def sql_collocates(spark, sf_dir):
+    from .sql import register
+
+    register(_corpus(spark, sf_dir), "registered_corpus")
+    return spark.sql("SELECT word, left_count, right_count, total FROM registered_corpus_collocates('of', 2, 4)")
+
+
+@query(f"""WITH {_T}, p AS (SELECT doc_id, len(toks) AS n, unnest(list_filter(range(0, len(toks)), lambda i: lower(toks[i + 1]) = 'and')) AS position FROM t)
+SELECT doc_id, CAST(floor(position * 100::DOUBLE / n) AS INTEGER) AS mark, count(*) AS hits FROM p GROUP BY 1, 2""")
+def sql_dispersion(spark, sf_dir):
+    from .sql import register
+
+    register(_corpus(spark, sf_dir), "registered_corpus")
+    return spark.sql("SELECT doc_id, mark, hits FROM registered_corpus_dispersion('and')")
+
+
+@query(f"""WITH l AS ({_lines('and', 7)}), m AS (SELECT greatest(max(position), 1) AS top FROM l),
+c AS (SELECT least(59, CAST(floor(position * 60::DOUBLE / top) AS INTEGER)) AS bucket, count(*) AS n FROM l, m GROUP BY 1)
+SELECT CAST(b.range AS INTEGER) AS bucket, coalesce(n, 0) AS hits FROM range(60) b LEFT JOIN c ON c.bucket = b.range""")
+def sql_density(spark, sf_dir):
+    from .sql import register
+
+    register(_corpus(spark, sf_dir), "registered_corpus")
+    return spark.sql("SELECT bucket, hits FROM registered_corpus_density('and', 60)")
+
+
+@query(f"WITH {_TOK_SQL}, {_BY_SUF}, {_LAYERED.format(value='pos', table='x', term='RB')}")
+def sql_kwic_layer(spark, sf_dir):
+    from .sql import register
+
+    register(_suffix_corpus(spark, sf_dir, "pos"), "registered_tagged")
+    return spark.sql("SELECT * FROM registered_tagged_kwic_pos('RB', 4)")

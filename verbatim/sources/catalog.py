@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
 import time
+import uuid
 from dataclasses import fields
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 from ..schema import CorpusMeta
 
 SCHEMA_VERSION = 1
@@ -21,6 +25,16 @@ def data_root() -> Path:
     return Path(given) if given else Path.home() / ".local" / "share" / "verbatim"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path that driver and executors share: below spark.checkpoint.dir, else, in local mode alone, a temporary folder."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        top = tempfile.mkdtemp(prefix="verbatim-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def corpora_root() -> Path:
     return data_root() / "corpora"
 
