@@ -20,13 +20,15 @@ BATCH_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where that is unset, in local mode, a temporary folder is made and set; a cluster must have one.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="verbatim-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
