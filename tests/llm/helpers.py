@@ -14,6 +14,7 @@ EDGES = [
     (7, "x" * 100_000),
     (8, "!!! ??? 123"),
     (-3, "a\0b \0 c"),
+    (9, "a <|endoftext|> b<|startoftext|>"),
 ]
 SCHEMA = "doc_id long, text string, size int, shard string, position double, row_number string, __tie int"
 

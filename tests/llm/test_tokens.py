@@ -14,9 +14,9 @@ from .helpers import EDGES, edge_docs, empty_docs, frame, some_texts
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
-def plain(file):
+def plain(file, literal=False):
     t = Tokenizer.from_file(public_tokenizers.path(file))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = literal
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -24,7 +24,7 @@ def plain(file):
 def test_units_give_the_librarys_ids(file):
     rng, alphabet = random.Random(2), " \n\t'sdLL.,1aÉé́ 😀\0ß|-"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(1500)]
-    texts += ["a  b", " a", "a ", "\n", "a\n\nb", "a \nb", "it's 's", "<|endoftext|> x", "don't. \nX", "ªº ß, Ⅷ x.\nY"] + [t for _, t in EDGES if t] + some_texts(40)
+    texts += ["a  b", " a", "a ", "\n", "a\n\nb", "a \nb", "it's 's", "<|endoftext|> x", "a<|endoftext|>b <|startoftext|> c", "<|ENDOFTEXT|>", "don't. \nX", "ªº ß, Ⅷ x.\nY"] + [t for _, t in EDGES if t] + some_texts(40)
     want = plain(file)
     got = UnitEncoder(file, most=200).encode(texts, 7)
     for text, ids in zip(texts, got, strict=True):
@@ -116,7 +116,7 @@ def test_pack_histogram(histogram):
 
 def test_token_counts(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK_IDS", 64)
-    ids = plain(BYTE)
+    ids = plain(BYTE, literal=True)
     texts = [*some_texts(50), "", None, "word " * 500]
     got = token_counts.count_tokens(frame(spark, texts)).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {k: len(ids(t)) for k, t in enumerate(texts)}
@@ -127,7 +127,7 @@ def test_token_counts(spark, monkeypatch):
 
 
 def test_token_counts_edges(spark):
-    ids = plain(BYTE)
+    ids = plain(BYTE, literal=True)
     got = token_counts.count_tokens(edge_docs(spark)).collect()
     key = lambda x: (x[0] is not None, x[0] or 0, x[1])
     assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=key) == sorted(((d, len(ids(t))) for d, t in EDGES), key=key)

@@ -22,13 +22,13 @@ SCHEMA = "kind int, file_id int, block_id int, payload binary"
 def write_flat(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 50256) -> None:
     """Flat files of unsigned 16-bit ids, `end_id` behind each document, cut into blocks of BLOCK_IDS.
 
-    The id is one that no text gives. The files hold no index; beside each the documents' ids are
+    The id is one that no text gives, as special tokens' strings in texts are encoded letter by letter. The files hold no index; beside each the documents' ids are
     kept in order, so that counts can be named. No shuffle: a task writes what it reads.
     """
     small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, task = encoder(tokenizer, literal=True), TaskContext.get().partitionId()
         held, size, blocks, names = [], 0, 0, 0
 
         def row(kind: str, block: int, payload: bytes) -> pa.RecordBatch:

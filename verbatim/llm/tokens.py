@@ -25,16 +25,18 @@ class UnitEncoder(dict):
     there before they merge: the byte-level one puts the space at the head of the next piece and makes
     a piece of the line end, the word one drops both. A text with more white space beside such a place
     is encoded as a whole by the byte-level one. In the table a leading space marks the head of a text
-    and a leading line end a unit after one. Special tokens' strings in a text are ordinary text.
+    and a leading line end a unit after one. A text that holds a special token's string is encoded as a
+    whole: the library gives the token's own id for it.
     """
 
-    def __init__(self, file: str, most: int = CACHE_UNITS):
+    def __init__(self, file: str, most: int = CACHE_UNITS, literal: bool = False):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        self.special = () if literal else tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         self.model = self.tokenizer.model.tokenize
         self.spaces = file.startswith("byte_")
         self.lead = "\u0120" if self.spaces else ""
@@ -107,6 +109,9 @@ class UnitEncoder(dict):
             if not text:
                 out.append(end)
                 continue
+            if any(x in text for x in self.special):
+                out.append(np.array([*self._whole(text), end_id], "<u4").tobytes())
+                continue
             if self.spaces:
                 units = text.replace("\n", " \n").split(" ")
                 units[0] = f" {units[0]}"
@@ -125,6 +130,6 @@ class UnitEncoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(file: str) -> UnitEncoder:
+def encoder(file: str, literal: bool = False) -> UnitEncoder:
     """One for each file and worker process."""
-    return UnitEncoder(file)
+    return UnitEncoder(file, literal=literal)
