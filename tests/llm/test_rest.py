@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 import zlib
 
@@ -178,16 +179,26 @@ def test_nearest(spark, monkeypatch, n, shard):
     assert ann.recall(found, df) >= 0.9
 
 
-def test_every_code_within_the_radius_is_found():
+def test_every_code_within_the_pigeonhole_radius_is_found():
     x = np.array([v for _, v in vectors(600)])
     coder = ann.fit(x, float(np.sqrt((x * x).sum(1).max())))
-    shard = ann.Shard(coder, np.arange(len(x)), x)
     codes = coder.codes(x[:40], False)
-    for radius in (0, 2, 5, 9):
-        coder.radius = radius
-        shard.probed.clear()
+    for probe in (0, 1, 3):
+        coder.probe, coder.radius = probe, (probe + 1) * ann.SUBSTRINGS - 1
+        shard = ann.Shard(coder, np.arange(len(x)), x)
         for code in codes:
-            assert shard.within(code).tolist() == np.flatnonzero(np.bitwise_count(shard.codes ^ code).sum(1) <= radius).tolist()
+            assert shard.within(code).tolist() == np.flatnonzero(np.bitwise_count(shard.codes ^ code).sum(1) <= coder.radius).tolist()
+            assert shard.probed(code).tolist() == np.flatnonzero(np.bitwise_count(shard.codes ^ code).min(1) <= probe).tolist()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_recall_over_the_embeddings(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert ann.recall(ann.nearest(vectors), vectors) >= 0.9
+    x = np.array([r["embedding"] for r in vectors.collect()], float)
+    shard = ann.Shard(ann.fit(x, 1.0), np.arange(len(x)), x)
+    codes = shard.coder.codes(x[::20], False)
+    assert sum(len(shard.within(c)) for c in codes) < 0.15 * len(codes) * len(x)
 
 
 def test_nearest_edges(spark):
