@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 8192
 #: Vectors of a shard, and queries that meet it in one task.
 SHARD_ROWS = 1 << 17
-QUERY_ROWS = 1 << 16
+QUERY_ROWS, QUERY_LEAST = 1 << 16, 256
 #: A code is so many substrings of so many bits, each with a table of its own.
 SUBSTRINGS, SUBSTRING_BITS = 28, 16
 RESULT = "query_id long, vec_id long, score double"
@@ -188,7 +188,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     sample = good.where(key < cut).orderBy(key, "vec_id").limit(SAMPLE_ROWS).select("embedding").toArrow()
     rows = _matrix(sample.column("embedding")).astype(np.float64)
     coder = spark.sparkContext.broadcast(fit(rows, figures["norm"], max(1, round(k * len(rows) / n))))
-    shards, blocks = -(-n // SHARD_ROWS), -(-int(figures["q"]) // QUERY_ROWS) or 1
+    shards, asks = -(-n // SHARD_ROWS), int(figures["q"])
+    # with few shards the queries are dealt to as many tasks as there are cores
+    blocks = max(-(-asks // QUERY_ROWS), min(-(-spark.sparkContext.defaultParallelism // shards), -(-asks // QUERY_LEAST)), 1)
     base = good.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "embedding")
     asked = good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "embedding")
