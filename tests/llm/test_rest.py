@@ -96,6 +96,11 @@ def test_decontamination(spark, monkeypatch, group):
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not x[-1] for x in want)
     assert decontaminate.drop_contaminated(docs, bench, share=None).count() == sum(not x[2] for x in want)
+    clash = docs.selectExpr("*", "1 as row", "text as raw", "doc_id as own", "array(1) as begins")
+    assert decontaminate.drop_contaminated(clash, bench).columns == clash.columns
+    assert decontaminate.drop_contaminated(clash, bench).count() == kept.count() and decontaminate.find_contamination(clash, bench).count() == len(rows)
+    assert decontaminate.drop_contaminated(docs.where("false"), bench).count() == 0
+    assert decontaminate.drop_contaminated(docs, bench.where("false")).count() == len(rows)
 
 
 def test_decontamination_edges(spark):
