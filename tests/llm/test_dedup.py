@@ -117,17 +117,20 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [300, 4 << 20])
-def test_repeated_bytes(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, hot", [(300, 256), (4 << 20, 256), (300, 3), (5000, 2)])
+def test_repeated_bytes(spark, monkeypatch, block, hot):
     rng = random.Random(9)
     texts = some_texts(80, seed=9, words=60)
     whole = texts[3] + texts[5]
     texts += [whole[k : k + n] for n in (49, 50, 51, 77) for k in range(0, 200, 37)]
     texts += ["ab" * 200, "ab" * 60, "\0" * 120, "\0" * 70 + "x", "a" * 49, "é" * 40, "x" + "é" * 40]
     texts += ["".join(rng.choice("ab") for _ in range(400)) for _ in range(5)]
+    line = "This one line of a licence stands in every document that is made here, whatever else it says. "
+    texts += [t[: len(t) // 2] + line + t[len(t) // 2 :] for t in some_texts(40, seed=10)]
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(tuple(r) for r in suffix_dedup.repeated_bytes(docs).collect())
     assert got == sorted(brute_repeats(rows))

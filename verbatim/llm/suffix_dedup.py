@@ -5,6 +5,8 @@ place (anchors.py), so every repeat shows as two suffixes with a long common pre
 what stands before them. A first exchange of hashes alone finds the anchors that more than one
 document has; the suffixes of those are sorted, front-coded and exchanged, and merged by loser trees
 (losertree.py). Nothing is decided by hashes: they only say which suffixes need not be looked at.
+Parts are many enough that each holds about a block's share, whatever the size of the input; an anchor
+that very many blocks have, such as a licence's line, does not meet in one part, but string by string.
 """
 
 from __future__ import annotations
@@ -21,15 +23,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import LENGTH, PLACES, SEED_BYTES, anchors
-from .common import partitions, release, slices, small_batches, work_path
+from .common import partitions, release, settle, slices, small_batches, work_path
 from .losertree import Run, merge
 
 BEFORE = PLACES - 1
 #: Bytes of text in a block, the unit that is stored, sorted and answered.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text whose suffixes meet in one part, at most.
+PART_BYTES = 8 << 20
 BLOCK_SCHEMA = "block_id long, doc_ids binary, nulls binary, sizes binary, raw binary, rest binary"
 RUN_SCHEMA = "part int, block_id long, lcps binary, sizes binary, tails binary, left_sizes binary, lefts binary, docs binary, places binary"
 ANSWER_SCHEMA = "block_id long, starts binary, ends binary"
+KEYS_SCHEMA = "block_id long, part int, keys binary, hot binary"
+WINDOW_SCHEMA = "string binary, least long, block_id long, starts binary, docs binary"
+#: Blocks that share an anchor from which on its suffixes do not meet in one part; its strings meet one by one instead.
+HOT_BLOCKS = 256
 DIGEST_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -116,7 +124,8 @@ def _row_blocks(batch: pa.RecordBatch):
 
 
 def shared_keys(blocks: DataFrame, parts: int) -> DataFrame:
-    """(block_id, keys): each block's anchors whose hash another block has too, as lists by part."""
+    """(block_id, shared): each block's anchors whose hash another block has too, as lists by part; those of very many blocks are listed as hot."""
+    most = HOT_BLOCKS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,21 +142,37 @@ def shared_keys(blocks: DataFrame, parts: int) -> DataFrame:
         part = table.column("part")[0].as_py()
         lists = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("keys")]
         seen, counts = np.unique(np.concatenate(lists), return_counts=True)
-        many = seen[counts > 1]
+        many, hot = seen[counts > 1], seen[counts >= most]
         out = [x[np.isin(x, many, assume_unique=True)] for x in lists]
         full = [k for k, x in enumerate(out) if len(x)]
         ids = table.column("block_id").to_pylist()
-        return pa.table({"block_id": pa.array([ids[k] for k in full], pa.int64()), "part": pa.array([part] * len(full), pa.int32()), "keys": pa.array([out[k].tobytes() for k in full], pa.binary())})
+        hots = [out[k][np.isin(out[k], hot, assume_unique=True)].tobytes() if len(hot) else b"" for k in full]
+        return pa.table({"block_id": pa.array([ids[k] for k in full], pa.int64()), "part": pa.array([part] * len(full), pa.int32()), "keys": pa.array([out[k].tobytes() for k in full], pa.binary()), "hot": pa.array(hots, pa.binary())})
 
     sent = blocks.select("block_id", "doc_ids", "nulls", "sizes", "raw").mapInArrow(send, "part int, block_id long, keys binary")
-    met = sent.groupBy("part").applyInArrow(meet, "block_id long, part int, keys binary")
-    return met.groupBy("block_id").agg(F.collect_list(F.struct("part", "keys")).alias("shared"))
+    met = sent.repartition(_tasks(blocks.sparkSession, parts), "part").groupBy("part").applyInArrow(meet, KEYS_SCHEMA)
+    return met.groupBy("block_id").agg(F.collect_list(F.struct("part", "keys", "hot")).alias("shared"))
+
+
+def _tasks(spark, parts: int) -> int:
+    """Tasks for so many parts: a few each, however many the data make."""
+    return max(partitions(spark), parts // 4)
+
+
+def _keys(shared, name: str) -> np.ndarray:
+    """The keys of a block's lists, sorted."""
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x[name], "<u4").astype(np.uint64) | np.uint64(x["part"] << 32) for x in shared or [])]))
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known) or not len(keys):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
 def _chosen(block: Block, shared, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors that another block or another document of the block has too."""
+    """Anchors that another block or another document of the block has too, but for the hot ones."""
     at, doc, key = block.anchors(parts)
-    known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x["keys"], "<u4").astype(np.uint64) | np.uint64(x["part"] << 32) for x in shared or [])]))
     order = np.lexsort((doc, key))
     at, doc, key = at[order], doc[order], key[order]
     fresh = np.flatnonzero(np.diff(key, prepend=np.uint64(0)) != 0) if len(key) else np.zeros(0, np.int64)
@@ -158,13 +183,53 @@ def _chosen(block: Block, shared, parts: int) -> tuple[np.ndarray, np.ndarray, n
     group = np.cumsum(group)
     last = np.append(fresh[1:], len(key)) - 1
     several = (doc[fresh] != doc[last]) if len(key) else np.zeros(0, bool)
-    if len(known) and len(key):
-        found = np.minimum(np.searchsorted(known, key[fresh]), len(known) - 1)
-        several |= known[found] == key[fresh]
+    several |= _among(key[fresh], _keys(shared, "keys"))
+    several &= ~_among(key[fresh], _keys(shared, "hot"))
     take = several[group] if len(key) else np.zeros(0, bool)
     return at[take], doc[take], (key[take] >> np.uint64(32)).astype(np.int64)
 
 
+def _hot_windows(block_id: int, block: Block, shared, parts: int) -> pa.RecordBatch:
+    """The strings of LENGTH bytes that hold a hot anchor: each once, with its places and the smallest doc_id here."""
+    at, doc, key = block.anchors(parts)
+    hot = _among(key, _keys(shared, "hot"))
+    at, doc = at[hot], doc[hot]
+    step = np.zeros(len(block.raw) + 1, np.int32)
+    low, high = np.maximum(block.starts[doc], at - BEFORE), np.minimum(at, block.ends[doc] - LENGTH)
+    fits = low <= high
+    np.add.at(step, low[fits], 1)
+    np.add.at(step, high[fits] + 1, -1)
+    starts = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+    ids = block.doc_ids[np.searchsorted(block.ends, starts, "right")]
+    places: dict[bytes, list[int]] = {}
+    for k, p in enumerate(starts.tolist()):
+        places.setdefault(block.raw[p : p + LENGTH], []).append(k)
+    rows = [(w, int(ids[own].min()), block_id, _as("<u4", starts[own]), _as("<i8", ids[own])) for w, own in places.items()]
+    return _batch(WINDOW_SCHEMA, list(zip(*rows, strict=True)) or [[], [], [], [], []])
+
+
+def _hot_answers(joined: DataFrame, parts: int) -> DataFrame:
+    """Answers for hot anchors. A string meets its copies as one row a block, by a minimum that is taken before and behind the exchange."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block_id, block, known in zip(batch.column("block_id").to_pylist(), _row_blocks(batch), batch.column("shared").to_pylist(), strict=True):
+                yield _hot_windows(block_id, block, known, parts)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Answers()
+            for block_id, first, starts, docs in zip(*(batch.column(c).to_pylist() for c in ("block_id", "first", "starts", "docs")), strict=True):
+                for p in np.frombuffer(starts, "<u4")[np.frombuffer(docs, "<i8") > first].tolist():
+                    found.put(block_id, p, p + LENGTH)
+            yield from found.table([]).to_batches()
+
+    rows = settle(joined.where("exists(shared, x -> length(x.hot) > 0)").mapInArrow(send, WINDOW_SCHEMA))
+    first = rows.groupBy("string").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n"))
+    met = rows.join(first, "string").where("n > 1 OR length(starts) > 4")  # AQE splits the rows of a string that nearly all blocks have
+    return met.select("block_id", "first", "starts", "docs").mapInArrow(answer, ANSWER_SCHEMA)
+
+
 def _runs(block_id: int, block: Block, shared, parts: int) -> Iterator[pa.RecordBatch]:
     """Front-coded sorted runs of the chosen suffixes by part; what the block can answer itself goes as an answer."""
     at, doc, part = _chosen(block, shared, parts)
@@ -282,11 +347,11 @@ def _merge_part(table: pa.Table) -> pa.Table:
 def repeats(docs: DataFrame, keep: bool) -> DataFrame:
     """The stored blocks with the byte ranges to remove: BLOCK_SCHEMA and `found`, a list of (starts, ends)."""
     spark = docs.sparkSession
-    parts = 4 * partitions(spark)
     blocks = write_blocks(docs, keep)
     release(spark)
+    parts = max(4 * partitions(spark), -(-blocks.count() * BLOCK_BYTES // PART_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a block is some megabytes
-    shared = shared_keys(blocks, parts)
+    shared = settle(shared_keys(blocks, parts))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,7 +360,9 @@ def repeats(docs: DataFrame, keep: bool) -> DataFrame:
 
     joined = blocks.join(shared, "block_id", "left").select("block_id", "doc_ids", "nulls", "sizes", "raw", "shared")
     runs = joined.mapInArrow(send, RUN_SCHEMA)
-    answers = runs.groupBy("part").applyInArrow(_merge_part, ANSWER_SCHEMA)
+    answers = runs.repartition(_tasks(spark, parts), "part").groupBy("part").applyInArrow(_merge_part, ANSWER_SCHEMA)
+    if not shared.where("exists(shared, x -> length(x.hot) > 0)").isEmpty():
+        answers = answers.unionByName(_hot_answers(joined, parts))
     found = answers.groupBy("block_id").agg(F.collect_list(F.struct("starts", "ends")).alias("found"))
     return blocks.join(found, "block_id", "left")
 
