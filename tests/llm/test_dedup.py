@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from verbatim.llm import similar, simhash, suffix_dedup
 from verbatim.llm.anchors import LENGTH, anchors
@@ -58,6 +59,15 @@ def test_near_duplicates(spark):
     assert [r["component_id"] for r in got] == groups(range(len(texts)), fps, 3)
 
 
+@pytest.mark.parametrize("hot", [1, 3, 100])
+def test_rows_of_hot_fingerprints_are_named_where_they_are(spark, hot):
+    fps = spark.createDataFrame([(k, k % 7 if k < 60 else 7) for k in range(100)], "doc_id long, fp long").repartition(4)
+    named = fps.groupBy("fp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    got = simhash.named_rows(fps, named, hot)
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(100))
+    assert all(r["component_id"] == (r["doc_id"] % 7 if r["doc_id"] < 60 else 60) for r in got.collect())
+
+
 def test_near_duplicates_edges(spark):
     got = simhash.near_duplicates(edge_docs(spark)).collect()
     fps = [brute_fingerprint(t) for _, t in EDGES]

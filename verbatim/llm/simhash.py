@@ -20,6 +20,8 @@ SEED = 42
 BITS = 64
 #: Fingerprints of a shard above which it is dealt anew by the bits it does not yet share.
 SHARD_MOST = 2048
+#: Rows of one fingerprint above which its component reaches them by broadcast instead of a shuffle.
+HOT_ROWS = 1 << 16
 _CHUNK = 1 << 16
 
 
@@ -158,6 +160,21 @@ def links(classes: DataFrame, radius: int = 3, most: int = SHARD_MOST) -> DataFr
     return ordered.mapInArrow(search, "a long, b long")
 
 
+def named_rows(fps: DataFrame, named: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+    """Every row of `fps` with the component_id that `named` (fp, component_id, n rows) has for its fp.
+
+    The rows of a fingerprint with more than `hot` rows stay where they are: there are at most
+    rows / hot of these, so they are broadcast. The rest meets by shuffle, `hot` rows a key at most.
+    """
+    large = named.where(F.col("n") > hot).select("fp", "component_id")
+    rest = named.where(F.col("n") <= hot).select("fp", "component_id")
+    if large.isEmpty():
+        return fps.join(rest, "fp")
+    still = fps.join(F.broadcast(large), "fp")
+    moved = fps.join(F.broadcast(large.select("fp")), "fp", "left_anti").join(rest, "fp")
+    return still.unionByName(moved)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable.
 
@@ -168,8 +185,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     result; other columns are ignored.
     """
     fps = settle(fingerprints(docs, shingle))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     roots = components(links(classes.where(F.col("rep").isNotNull()), radius))
-    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    out = fps.join(named, "fp")
+    named = settle(classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"), "n"))
+    out = named_rows(fps, named)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
