@@ -158,7 +158,31 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", docs.lang.substr(9, 1).substr(5, 0)).where("false")).collect()} == set()
     nothing = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert langid.identify(nothing).first()["lang_pred"] == "und"
-    assert langid.keep_identified(docs).columns == docs.columns
+    clash = docs.selectExpr("*", "1 as __h", "2 as __before", "'s' as score", "true as accepted")
+    kept = langid.keep_identified(clash)
+    assert kept.columns == clash.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in got if r["accepted"])
+    assert langid.keep_identified(docs.where("false")).count() == 0 == langid.keep_identified(nothing).count()
+
+
+def test_language_sample_is_bounded_by_bytes(spark, monkeypatch):
+    rows = languages()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda texts, langs: seen.append(texts))
+    langid.fit(docs)
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 2000)
+    langid.fit(docs)
+    whole, part = seen
+    assert len(whole) == sum(zlib.crc32(str(d).encode()) % 4 != 2 for d, _, _ in rows)
+    assert part == whole[: len(part)] and len("".join(part[:-1]).encode()) < 2000 <= len("".join(part).encode())
+
+
+def test_slices_of_a_batch_are_judged_like_the_whole(spark, monkeypatch):
+    docs = spark.createDataFrame(languages(), "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    want = sorted(r["doc_id"] for r in langid.identify(docs, model).where("accepted").collect())
+    assert want and sorted(r["doc_id"] for r in langid.keep_identified(docs, model).collect()) == want
 
 
 # nearest neighbours

@@ -10,7 +10,7 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches
@@ -18,8 +18,8 @@ from .common import slices, small_batches
 BUCKETS = 1 << 16
 DIM = 16
 GRAMS = (1, 2, 3, 4)
-#: Labelled rows that the classifier is fitted on at most; the bound on what the driver holds.
-SAMPLE_ROWS = 4096
+#: Labelled rows that the classifier is fitted on at most, and bytes of text after which no further one is taken: bounds on what the driver holds.
+SAMPLE_ROWS, SAMPLE_BYTES = 4096, 64 << 20
 EPOCHS = 4
 RATE = 0.5
 #: Share of the calibration targets that is spread over all languages.
@@ -204,12 +204,19 @@ def learnable() -> str:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fits on at most `rows` labelled documents, those with the smallest hashes of their doc_id; only text and lang are read of them."""
+    """Fits on labelled documents in the order of their doc_id's hash; only text and lang are read of them.
+
+    At most `rows` documents, and no further one once those before it hold SAMPLE_BYTES of text.
+    """
     labelled = docs.where("doc_id is not null and lang is not null and text is not null").where(learnable())
     keyed = labelled.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("__h"), "doc_id", "text", "lang")
     n = keyed.count()
     cut = (1 << 30) if n <= rows else int((1 << 30) * rows * 1.05 / n) + 1
-    some = keyed.where(F.col("__h") < cut).orderBy("__h", "doc_id", "lang", F.length("text")).limit(rows).collect()
+    order = ["__h", "doc_id", "lang", F.length("text")]
+    some = keyed.where(F.col("__h") < cut).orderBy(*order).limit(rows)
+    size = F.octet_length("text").cast("long")
+    some = some.withColumn("__before", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - size)  # `rows` rows
+    some = some.where(F.col("__before") < SAMPLE_BYTES).collect()
     own = [(r["text"], r["lang"]) for r in some if has_letter(r["text"])]
     if not own:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
@@ -241,7 +248,12 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
-    """The documents whose language is accepted, with all their columns, without a shuffle."""
+    """The documents whose language is accepted, with all their columns, without a shuffle.
+
+    Defined results: null texts and texts without a letter go, whatever their doc_id; repeated rows are
+    judged alike; where there was nothing to learn from, all go; an empty table gives an empty result;
+    names of other columns do not matter.
+    """
     model = model or fit(docs)
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -251,8 +263,12 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> Data
         import pandas as pd
 
         scorer = _scorer(shared)
-        langs, scores = scorer.score([t if isinstance(t, str) else None for t in texts])
-        return pd.Series([a != UNKNOWN and s >= scorer.model.threshold for a, s in zip(langs, scores.tolist(), strict=True)], dtype=bool)
+        good: list[bool] = []
+        batch = pa.RecordBatch.from_arrays([pa.array([t if isinstance(t, str) else None for t in texts], pa.string())], ["text"])
+        for part in slices(batch, "text"):
+            langs, scores = scorer.score(part.column("text").to_pylist())
+            good += [a != UNKNOWN and s >= scorer.model.threshold for a, s in zip(langs, scores.tolist(), strict=True)]
+        return pd.Series(good, dtype=bool)
 
     return docs.where(accepted(F.col("text")))
 
