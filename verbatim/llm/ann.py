@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Vectors that rotations and radii are fitted on at most.
 SAMPLE_ROWS = 8192
-#: Vectors of a shard, and queries that meet it in one task.
-SHARD_ROWS = 1 << 17
+#: Vectors of a shard and their bytes in double precision, whichever is less; queries that meet it in one task.
+SHARD_ROWS, SHARD_BYTES = 1 << 17, 64 << 20
 QUERY_ROWS, QUERY_LEAST = 1 << 16, 256
 #: A code is so many substrings of so many bits, each with a table of its own.
 SUBSTRINGS, SUBSTRING_BITS = 28, 16
@@ -161,7 +161,7 @@ def _matrix(column) -> np.ndarray:
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """For each row whose vec_id is divisible by `every`: its k nearest other rows by inner product.
 
-    All rows are indexed, in shards of about SHARD_ROWS; every block of queries meets every shard, and
+    All rows are indexed, in shards of about SHARD_ROWS or SHARD_BYTES; every block of queries meets every shard, and
     a shard returns k rows for each query at most. Columns: query_id, rank (from 1), vec_id, score.
     Defined results: null, zero, non-finite vectors and vectors of another than the most common
     dimension take no part, nor do rows without a vec_id; a vec_id that occurs twice is asked once, with
@@ -188,9 +188,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     sample = good.where(key < cut).orderBy(key, "vec_id").limit(SAMPLE_ROWS).select("embedding").toArrow()
     rows = _matrix(sample.column("embedding")).astype(np.float64)
     coder = spark.sparkContext.broadcast(fit(rows, figures["norm"], max(1, round(k * len(rows) / n))))
-    shards, asks = -(-n // SHARD_ROWS), int(figures["q"])
+    fit_rows = max(1, SHARD_BYTES // (8 * row["d"]))
+    shards, asks, most = -(-n // min(SHARD_ROWS, fit_rows)), int(figures["q"]), min(QUERY_ROWS, fit_rows)
     # with few shards the queries are dealt to as many tasks as there are cores
-    blocks = max(-(-asks // QUERY_ROWS), min(-(-spark.sparkContext.defaultParallelism // shards), -(-asks // QUERY_LEAST)), 1)
+    blocks = max(-(-asks // most), min(-(-spark.sparkContext.defaultParallelism // shards), -(-asks // QUERY_LEAST)), 1)
     base = good.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "embedding")
     asked = good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "embedding")
