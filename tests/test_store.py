@@ -24,7 +24,11 @@ def test_text_folder(spark, tmp_path):
     assert [(r["doc_id"], r["path"].rpartition("/")[2], r["text"]) for r in rows] == [(0, "_x.txt", "hidden"), (1, "a b.txt", "one"), (2, "b.txt", "two\nlines"), (3, "e.txt", "é")]
     store = read_text_store(spark, f"file://{tmp_path}").orderBy("doc_id").collect()
     assert [(r["doc_id"], r["path"].rpartition("/")[2]) for r in store] == [(0, "a b.txt"), (1, "b.txt"), (2, "e.txt")]
+    (tmp_path / "f.txt").write_text("a \N{REPLACEMENT CHARACTER} that is meant")
+    assert read_text_store(spark, f"file://{tmp_path}").where("doc_id = 2").first()["text"] == "a \N{REPLACEMENT CHARACTER} that is meant"
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
+    with pytest.raises(Exception):
+        read_text_store(spark, f"file://{tmp_path}").collect()
     with pytest.raises(Exception):
         read_text_dir(spark, str(tmp_path)).collect()
     with pytest.raises(FileNotFoundError):
@@ -100,6 +104,7 @@ def test_command_line(spark, root):
     (root / "texts" / "a.txt").write_text("the cat sat")
     (root / "texts" / "b.txt").write_text("see the dog")
     assert main(["index", str(root / "texts")])[0].startswith("indexed texts in")
+    assert catalog.read_metadata(catalog.metadata_path("texts")).languages == ["en"]
     out = main(["kwic", "texts", "the", "--context", "1"])
     assert out[0] == "a.txt" + " " * 15 + "       [the]  cat" and out[1] == "b.txt" + " " * 15 + "  see  [the]  dog" and out[2].startswith("2 hit(s) in")
     assert main(["collocates", "texts", "the"])[0].split() == ["cat", "0", "1", "1"]

@@ -17,7 +17,7 @@ from .sources.text import read_text_dir
 def check_language(code: str) -> str:
     if code not in LANGUAGES:
         raise SystemExit(f"unknown language {code!r}; one of {', '.join(sorted(LANGUAGES))}")
-    return LANGUAGES[code]
+    return code
 
 
 def format_lines(rows: list) -> list[str]:
@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None) -> list[str]:
             Corpus.build(docs, args.out)
             where = args.out
         else:
-            where = Corpus.create(docs, args.name or args.input.rstrip("/").rpartition("/")[2], args.input).meta.id
+            where = Corpus.create(docs, args.name or args.input.rstrip("/").rpartition("/")[2], args.input, languages=(args.language,)).meta.id
         return [f"indexed {where} in {duration((time.time() - started) * 1000)}"]
     corpus = open_corpus(spark, args.corpus)
     if args.verb == "kwic":

@@ -52,7 +52,7 @@ class Corpus:
         return out
 
     @classmethod
-    def create(cls, docs: DataFrame, name: str, source: str = "", annotator: Annotator | None = None, progress: Progress | None = None) -> Corpus:
+    def create(cls, docs: DataFrame, name: str, source: str = "", annotator: Annotator | None = None, progress: Progress | None = None, languages: tuple[str, ...] = ()) -> Corpus:
         """Builds under the data root, with a free name and a metadata file; an empty source is an error."""
         if docs.isEmpty():
             raise ValueError("no documents")
@@ -64,7 +64,7 @@ class Corpus:
         corpus.meta = CorpusMeta(
             id=slug, name=name, index_path=where, source_path=source, annotated=annotator is not None, doc_count=row["doc_count"],
             token_count=row["token_count_estimate"], avg_doc_len=row["avg_doc_len"], built_at=catalog.stamp(),
-            build_ms=int((time.time() - started) * 1000), annotator=annotator.id if annotator else None, size_on_disk=catalog.dir_size(where) or 0,
+            languages=list(languages), build_ms=int((time.time() - started) * 1000), annotator=annotator.id if annotator else None, size_on_disk=catalog.dir_size(where) or 0,
         )
         catalog.write_metadata(catalog.metadata_path(slug), corpus.meta)
         _opened[slug] = corpus
