@@ -63,6 +63,31 @@ def test_large_buckets_are_dealt_by_pairs_of_parts_and_lose_no_link(spark, most,
     assert {r["doc_id"] for r in similar.drop_near_duplicates(docs).collect()} == set(brute_groups(texts))
 
 
+@pytest.mark.parametrize(("chunk", "bits"), [(1 << 20, 24), (40, 3)])
+def test_bound_loses_no_link(monkeypatch, chunk, bits):
+    """Near copies in one shard: groups as all pairs give them, also with a table so small that hashes collide."""
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    monkeypatch.setattr(similar, "MARK_BITS", bits)
+    rng = np.random.default_rng(bits)
+    for size in (1, 4, 9, 40):
+        sets = []
+        for _ in range(3):
+            base = rng.integers(0, 1 << 64, size, np.uint64)
+            for _ in range(30):
+                x, n = base.copy(), int(rng.integers(0, size // 3 + 2))
+                x[rng.choice(size, min(n, size), replace=False)] = rng.integers(0, 1 << 64, min(n, size), np.uint64)
+                sets.append(np.unique(x))
+        links = similar.tree_links([similar.vote(x) for x in sets], sets, 64)
+        got, want = list(range(len(sets))), list(range(len(sets)))
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) * 5 >= len(np.union1d(sets[i], sets[j])) * 4]
+        for root, found in ((got, links), (want, pairs)):
+            for i, j in found:
+                a, b = sorted((root[i], root[j]))
+                root[:] = [a if r == b else r for r in root]
+        assert got == want
+        assert len(links) == len(sets) - len(set(got))
+
+
 def test_tree_links():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 64, 12, np.uint64)

@@ -33,6 +33,9 @@ BANDS, ROWS = 24, 3
 BUCKET_MOST = 1024
 #: Classes to drop or thin that may be broadcast (about 30 bytes each); more are joined by a shuffle.
 BROADCAST_CLASSES = 1 << 18
+#: The bound's table has so many places for each hash of the largest set, up to so many bits; sets it looks at first,
+#: and hashes at a time (one larger set alone).
+MARKS, MARK_BITS, FIRST, CHUNK = 32, 24, 16, 1 << 20
 _CHUNK = 1 << 13
 _RANDOM = np.random.default_rng(SEED)
 _XOR = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
@@ -68,26 +71,58 @@ def similar(x: np.ndarray, y: np.ndarray, least: tuple[int, int] = LEAST) -> boo
     return both * least[1] >= (len(x) + len(y) - both) * least[0]
 
 
+class _Bound:
+    """Which sets of a shard may be similar to one of them: an upper bound of what they share, for many at a time.
+
+    The one's hashes are marked in a table by their low bits. A set shares no more hashes with it than
+    fall on marks, so what the bound refuses is not similar; the rest is compared exactly.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.sizes = sets, np.fromiter(map(len, sets), np.int64, len(sets))
+        most = int(self.sizes.max(initial=1))
+        self.table = np.zeros(1 << min(max((MARKS * most - 1).bit_length(), 12), MARK_BITS), bool)
+        self.low = np.uint64(len(self.table) - 1)
+
+    def may(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that the bound does not refuse."""
+        up, down = LEAST
+        size, sizes = int(self.sizes[i]), self.sizes[others]
+        fit = np.minimum(sizes, size) * down >= np.maximum(sizes, size) * up
+        others, sizes = others[fit], sizes[fit]
+        if not len(others):
+            return others
+        marks = (self.sets[i] & self.low).astype(np.int64)
+        self.table[marks] = True
+        ends = np.cumsum(sizes)
+        hit = self.table[(np.concatenate([self.sets[j] for j in others.tolist()]) & self.low).astype(np.int64)]
+        self.table[marks] = False
+        both = np.minimum(np.add.reduceat(hit, ends - sizes, dtype=np.int64), np.minimum(sizes, size))
+        return others[both * down >= (size + sizes - both) * up]
+
+
 def tree_links(fps: list[int], sets: list[np.ndarray], radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links (place, place) that join all texts of a shard that chains of links connect; fewer than texts.
 
     Fingerprints go into the tree one by one and ask it first; what it finds is compared exactly,
-    unless it is in the same group already.
+    unless it is in the same group already or the bound refuses it.
     """
-    tree, members, place, parent, out = BKTree(), [], {}, list(range(len(fps))), []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
+    tree, members, place, out = BKTree(), [], {}, []
+    group, bound = np.arange(len(fps)), _Bound(sets)
     for i, fp in enumerate(fps):
-        for k in tree.near(fp, radius):
-            for j in members[k]:
-                a, b = root(i), root(j)
-                if a != b and similar(sets[i], sets[j]):
-                    parent[max(a, b)] = min(a, b)
+        found = np.array([j for k in tree.near(fp, radius) for j in members[k]], np.int64)
+        step = FIRST
+        while len(found):
+            # few at first, as the first link often leaves nothing else to ask; never more than CHUNK hashes
+            step = max(1, min(step, int(np.searchsorted(np.cumsum(bound.sizes[found[:step]]), CHUNK, "right"))))
+            rest, found = bound.may(i, found[:step]), found[step:]
+            while len(rest):
+                j, rest = int(rest[0]), rest[1:]
+                if similar(sets[i], sets[j]):
+                    group[group == group[j]] = group[i]
                     out.append((i, j))
+                    rest = rest[group[rest] != group[i]]
+            found, step = found[group[found] != group[i]], 2 * step
         if fp not in place:
             place[fp] = tree.add(fp)
             members.append([])
