@@ -1,5 +1,6 @@
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -146,6 +147,40 @@ def test_repeated_bytes(spark, monkeypatch, block, hot):
     assert got == sorted(brute_repeats(rows))
 
 
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_repeats_in_several_passes(spark, monkeypatch, hot):
+    line = "This one line of a licence stands in every document that is made here, whatever else it says. "
+    rows = list(enumerate(t[: len(t) // 2] + line + t[len(t) // 2 :] for t in some_texts(60, seed=11)))
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_EACH", 1)
+    monkeypatch.setattr(suffix_dedup, "PASS_SHARE", 0.1)
+    made, stored = [], suffix_dedup._stored
+    monkeypatch.setattr(suffix_dedup, "_stored", lambda df, path: (made.append(path), stored(df, path))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in suffix_dedup.repeated_bytes(docs).collect()) == sorted(brute_repeats(rows))
+    kinds = [p.rsplit("/", 1)[1].split("-")[0] for p in made]
+    assert kinds.count("answers") > 1 and ("strings" in kinds) == (hot == 2)
+    assert not any(Path(p.removeprefix("file:")).exists() for p in made if "/strings-" in p)
+
+
+def test_a_line_of_many_documents_is_sent_without_its_surroundings():
+    rng = random.Random(3)
+    line = "This one line of a licence stands in every document that is made here. "
+    texts = ["".join(chr(rng.randrange(33, 127)) for _ in range(80)) for _ in range(400)]
+    raws = [(a + line + b).encode() for a, b in zip(texts[::2], texts[1::2])]
+    whole = b"".join(raws)
+    block = suffix_dedup.Block(np.arange(200, dtype="<i8").tobytes(), bytes(200), np.array([len(x) for x in raws], "<i8").tobytes(), whole, suffix_dedup._gaps(whole))
+    keys, counts = np.unique(block.anchors(1)[2], return_counts=True)
+    own = keys[counts > 1].astype("<u4").tobytes()
+    sent = []
+    for hot in (own, b""):
+        shared = [{"part": 0, "again": 0, "keys": own, "hot": hot}]
+        rows = [row for row in suffix_dedup._runs(1, block, shared, [], 1, 0, 1) if row.column("lcps")[0].as_py()]
+        sent.append(sum(len(row.column(c)[0].as_py()) for row in rows for c in ("tails", "lefts")))
+    assert 0 < 3 * sent[0] < sent[1], sent
+
+
 def test_repeated_bytes_edges(spark):
     got = suffix_dedup.repeated_bytes(edge_docs(spark)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_repeats(EDGES)))

@@ -24,12 +24,24 @@ def hashes(raw: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the SEED_BYTES bytes from each place on."""
     word = _loads(raw)
     n = len(raw) - SEED_BYTES + 1
-    h = word[:n] * np.uint64(0x9E3779B97F4A7C15)
+    return _mixed(word[:n], word[8 : n + 8], word[16 : n + 16])
+
+
+def hashes_at(raw: bytes, at: np.ndarray) -> np.ndarray:
+    """The hashes of some places alone."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    word = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    return _mixed(word[at], word[at + 8], word[at + 16])
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    h = a * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
-    h += word[8 : n + 8]
+    h += b
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    h += word[16 : n + 16]
+    h += c
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(32)
     return h

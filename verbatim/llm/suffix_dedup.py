@@ -5,15 +5,19 @@ place (anchors.py), so every repeat shows as two suffixes with a long common pre
 what stands before them. A first exchange of hashes alone finds the anchors that more than one
 document has; the suffixes of those are sorted, front-coded and exchanged, and merged by loser trees
 (losertree.py). Nothing is decided by hashes: they only say which suffixes need not be looked at.
-Parts are many enough that each holds about a block's share, whatever the size of the input; an anchor
-that very many blocks have, such as a licence's line, does not meet in one part, but string by string.
+Parts are many enough that each holds about a block's share, whatever the size of the input. The suffixes
+of all parts may take several times the input where much is repeated, so parts are worked on in passes,
+as many as keep the suffixes under way below the stored texts; what a pass exchanged is dropped before the
+next. An anchor that comes very often, such as a licence's line, stands in ever new surroundings: a
+further exchange of hashes finds the strings around it that another place has too, and only those are sent.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import LENGTH, PLACES, SEED_BYTES, anchors
+from .anchors import LENGTH, PLACES, SEED_BYTES, anchors, hashes_at
 from .common import partitions, release, settle, slices, small_batches, work_path
 from .losertree import Run, merge
 
@@ -31,13 +35,18 @@ BEFORE = PLACES - 1
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose suffixes meet in one part, at most.
 PART_BYTES = 8 << 20
-BLOCK_SCHEMA = "block_id long, doc_ids binary, nulls binary, sizes binary, raw binary, rest binary"
+#: Bytes that a suffix takes in an exchange, about, and what those of one pass may take, as a share of the stored blocks.
+SUFFIX_BYTES = 30
+PASS_SHARE = 2.0
+BLOCK_SCHEMA = "block_id long, doc_ids binary, nulls binary, sizes binary, raw binary, gaps binary, rest binary"
+BLOCK_COLUMNS = ("doc_ids", "nulls", "sizes", "raw", "gaps")
 RUN_SCHEMA = "part int, block_id long, lcps binary, sizes binary, tails binary, left_sizes binary, lefts binary, docs binary, places binary"
-ANSWER_SCHEMA = "block_id long, starts binary, ends binary"
-KEYS_SCHEMA = "block_id long, part int, keys binary, hot binary"
-WINDOW_SCHEMA = "string binary, least long, block_id long, starts binary, docs binary"
-#: Blocks that share an anchor from which on its suffixes do not meet in one part; its strings meet one by one instead.
+ANSWER_SCHEMA = "block_id long, starts binary, sizes binary"
+KEYS_SCHEMA = "block_id long, part int, again long, keys binary, hot binary"
+#: An anchor that comes as often as HOT_EACH times in each of HOT_BLOCKS blocks is hot: only those strings around it
+#: are sent that another place has too.
 HOT_BLOCKS = 256
+HOT_EACH = 64
 DIGEST_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -58,6 +67,11 @@ def _stream(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _gaps(raw: bytes) -> bytes:
+    """The steps from anchor to anchor, each at most PLACES, so that later steps need not look for them."""
+    return _as("u1", np.diff(anchors(np.frombuffer(raw, np.uint8))[0], prepend=0))
+
+
 def write_blocks(docs: DataFrame, keep: bool) -> DataFrame:
     """Rows packed into blocks, in a table bucketed by block, so that joins on blocks move no text.
 
@@ -77,7 +91,7 @@ def write_blocks(docs: DataFrame, keep: bool) -> DataFrame:
             ids, raw = table.column("__doc"), [x or b"" for x in table.column("__raw").to_pylist()]
             rest = _stream(table.select(others)) if others else b""
             n, held, size = n + 1, [], 0
-            return _batch(BLOCK_SCHEMA, [[(task << 32) + n], [_as("<i8", ids.fill_null(0))], [_as("u1", ids.is_null())], [_as("<i8", [len(x) for x in raw])], [b"".join(raw)], [rest]])
+            return _batch(BLOCK_SCHEMA, [[(task << 32) + n], [_as("<i8", ids.fill_null(0))], [_as("u1", ids.is_null())], [_as("<i8", [len(x) for x in raw])], [whole := b"".join(raw)], [_gaps(whole)], [rest]])
 
         for batch in batches:
             for part in slices(batch, "__raw", BLOCK_BYTES):
@@ -100,8 +114,8 @@ def write_blocks(docs: DataFrame, keep: bool) -> DataFrame:
 class Block:
     """A stored block: its bytes, documents, and anchors inside documents that have a doc_id."""
 
-    def __init__(self, doc_ids: bytes, nulls: bytes, sizes: bytes, raw: bytes):
-        self.raw = raw
+    def __init__(self, doc_ids: bytes, nulls: bytes, sizes: bytes, raw: bytes, gaps: bytes):
+        self.raw, self.gaps = raw, gaps
         self.doc_ids, self.nulls = np.frombuffer(doc_ids, "<i8"), np.frombuffer(nulls, "u1") > 0
         self.sizes = np.frombuffer(sizes, "<i8")
         self.ends = np.cumsum(self.sizes)
@@ -109,49 +123,69 @@ class Block:
 
     def anchors(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, documents (by place in the block) and keys: part << 32 | 32 bits of the hash."""
-        at, h = anchors(np.frombuffer(self.raw, np.uint8))
+        at = np.cumsum(np.frombuffer(self.gaps, "u1"), dtype=np.int64)
         doc = np.searchsorted(self.ends, at, "right")
         fits = (at + SEED_BYTES <= self.ends[doc]) & ~self.nulls[doc] & (self.sizes[doc] >= LENGTH) if len(at) else np.zeros(0, bool)
-        at, doc, h = at[fits], doc[fits], h[fits]
-        low = h & np.uint64(0xFFFFFFFF)
-        key = (low % np.uint64(parts)) << np.uint64(32) | h >> np.uint64(32)
-        return at, doc, key
+        at, doc = at[fits], doc[fits]
+        return at, doc, _dealt(hashes_at(self.raw, at), parts)
+
+
+def _dealt(h: np.ndarray, parts: int) -> np.ndarray:
+    """Keys of hashes: part << 32 | 32 other bits."""
+    return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(parts)) << np.uint64(32) | h >> np.uint64(32)
 
 
 def _row_blocks(batch: pa.RecordBatch):
-    for row in zip(*(batch.column(c) for c in ("doc_ids", "nulls", "sizes", "raw")), strict=True):
+    for row in zip(*(batch.column(c) for c in BLOCK_COLUMNS), strict=True):
         yield Block(*(bytes(x.as_buffer()) for x in row))
 
 
-def shared_keys(blocks: DataFrame, parts: int) -> DataFrame:
-    """(block_id, shared): each block's anchors whose hash another block has too, as lists by part; those of very many blocks are listed as hot."""
-    most = HOT_BLOCKS
+def shared_keys(blocks: DataFrame, parts: int, keys_of: Callable) -> DataFrame:
+    """(block_id, shared): each block's keys that another block has too, as lists by part.
+
+    `keys_of(block, shared)` gives a block's keys. For anchors, keys that come very often are listed as hot too,
+    and `again` counts how often a key comes once more in the block; not so where `blocks` has `shared` already.
+    """
+    most, given = HOT_BLOCKS * HOT_EACH, "shared" in blocks.columns
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block_id, block in zip(batch.column("block_id").to_pylist(), _row_blocks(batch), strict=True):
-                keys = np.sort(block.anchors(parts)[2])
-                keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+            known = batch.column("shared").to_pylist() if given else [None] * batch.num_rows
+            for block_id, block, shared in zip(batch.column("block_id").to_pylist(), _row_blocks(batch), known, strict=True):
+                every = np.sort(keys_of(block, shared))
+                first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+                keys = every[first]
                 own = (keys >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(own, prepend=-1))
                 low = keys.astype("<u4")  # the lower half
-                rows = [low[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(low)], strict=False)]
-                yield _batch("part int, block_id long, keys binary", [own[cuts], [block_id] * len(rows), rows])
+                ends = np.append(cuts[1:], len(low))[: len(cuts)]
+                rows = [low[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
+                times = np.diff(np.append(first, len(every)))
+                again = [0 if given else int(times[a:b].sum()) - int(b - a) for a, b in zip(cuts, ends, strict=True)]
+                often = [b"" if given else _as("<u2", np.minimum(times[a:b], 65535)) for a, b in zip(cuts, ends, strict=True)]
+                yield _batch("part int, block_id long, again long, keys binary, often binary", [own[cuts], [block_id] * len(rows), again, rows, often])
 
     def meet(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         lists = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("keys")]
         seen, counts = np.unique(np.concatenate(lists), return_counts=True)
-        many, hot = seen[counts > 1], seen[counts >= most]
-        out = [x[np.isin(x, many, assume_unique=True)] for x in lists]
-        full = [k for k, x in enumerate(out) if len(x)]
+        many = seen[counts > 1]
+        met = [np.isin(x, many, assume_unique=True) for x in lists]
+        out = [x[m] for x, m in zip(lists, met, strict=True)]
+        hot = many[:0]
+        if not given:
+            often = np.concatenate([np.frombuffer(x.as_buffer(), "<u2")[m] for x, m in zip(table.column("often"), met, strict=True)]).astype(np.int64)
+            if often.sum() >= most:
+                hot = many[np.bincount(np.searchsorted(many, np.concatenate(out)), often, len(many)) >= most]
+        again = table.column("again").to_pylist()
+        full = [k for k, x in enumerate(out) if len(x) or again[k]]
         ids = table.column("block_id").to_pylist()
         hots = [out[k][np.isin(out[k], hot, assume_unique=True)].tobytes() if len(hot) else b"" for k in full]
-        return pa.table({"block_id": pa.array([ids[k] for k in full], pa.int64()), "part": pa.array([part] * len(full), pa.int32()), "keys": pa.array([out[k].tobytes() for k in full], pa.binary()), "hot": pa.array(hots, pa.binary())})
+        return pa.table({"block_id": pa.array([ids[k] for k in full], pa.int64()), "part": pa.array([part] * len(full), pa.int32()), "again": pa.array([again[k] for k in full], pa.int64()), "keys": pa.array([out[k].tobytes() for k in full], pa.binary()), "hot": pa.array(hots, pa.binary())})
 
-    sent = blocks.select("block_id", "doc_ids", "nulls", "sizes", "raw").mapInArrow(send, "part int, block_id long, keys binary")
+    sent = blocks.select("block_id", *BLOCK_COLUMNS, *(["shared"] if given else [])).mapInArrow(send, "part int, block_id long, again long, keys binary, often binary")
     met = sent.repartition(_tasks(blocks.sparkSession, parts), "part").groupBy("part").applyInArrow(meet, KEYS_SCHEMA)
-    return met.groupBy("block_id").agg(F.collect_list(F.struct("part", "keys", "hot")).alias("shared"))
+    return met.groupBy("block_id").agg(F.collect_list(F.struct("part", "again", "keys", "hot")).alias("shared"))
 
 
 def _tasks(spark, parts: int) -> int:
@@ -170,72 +204,67 @@ def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
-def _chosen(block: Block, shared, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors that another block or another document of the block has too, but for the hot ones."""
+def _chosen(block: Block, shared, parts: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of parts from `low` to before `high` that another block or another document of the block has too, and which are hot."""
     at, doc, key = block.anchors(parts)
+    own = (key >= np.uint64(low << 32)) & (key < np.uint64(high << 32))
+    at, doc, key = at[own], doc[own], key[own]
     order = np.lexsort((doc, key))
     at, doc, key = at[order], doc[order], key[order]
-    fresh = np.flatnonzero(np.diff(key, prepend=np.uint64(0)) != 0) if len(key) else np.zeros(0, np.int64)
-    if len(key) and (not len(fresh) or fresh[0] != 0):
-        fresh = np.concatenate([[0], fresh])
-    group = np.zeros(len(key), np.int64)
-    group[fresh[1:]] = 1
-    group = np.cumsum(group)
+    if not len(key):
+        return at, doc, key.astype(np.int64), np.zeros(0, bool)
+    start = np.append(True, key[1:] != key[:-1])
+    fresh = np.flatnonzero(start)
     last = np.append(fresh[1:], len(key)) - 1
-    several = (doc[fresh] != doc[last]) if len(key) else np.zeros(0, bool)
-    several |= _among(key[fresh], _keys(shared, "keys"))
-    several &= ~_among(key[fresh], _keys(shared, "hot"))
-    take = several[group] if len(key) else np.zeros(0, bool)
-    return at[take], doc[take], (key[take] >> np.uint64(32)).astype(np.int64)
+    several = (doc[fresh] != doc[last]) | _among(key[fresh], _keys(shared, "keys"))
+    hot = _among(key[fresh], _keys(shared, "hot"))
+    group = np.cumsum(start) - 1
+    take = several[group]
+    return at[take], doc[take], (key[take] >> np.uint64(32)).astype(np.int64), hot[group][take]
 
 
-def _hot_windows(block_id: int, block: Block, shared, parts: int) -> pa.RecordBatch:
-    """The strings of LENGTH bytes that hold a hot anchor: each once, with its places and the smallest doc_id here."""
-    at, doc, key = block.anchors(parts)
-    hot = _among(key, _keys(shared, "hot"))
-    at, doc = at[hot], doc[hot]
+def _around(block: Block, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first and the last string of LENGTH bytes around an anchor begin; the last lies before the first if there is none."""
+    return np.maximum(block.starts[doc], at - BEFORE), np.minimum(at, block.ends[doc] - LENGTH)
+
+
+def _strings(block: Block, low: np.ndarray, high: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places from `low` to `high`, each once, and the keys of the strings of LENGTH bytes there."""
     step = np.zeros(len(block.raw) + 1, np.int32)
-    low, high = np.maximum(block.starts[doc], at - BEFORE), np.minimum(at, block.ends[doc] - LENGTH)
     fits = low <= high
     np.add.at(step, low[fits], 1)
     np.add.at(step, high[fits] + 1, -1)
     starts = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-    ids = block.doc_ids[np.searchsorted(block.ends, starts, "right")]
-    places: dict[bytes, list[int]] = {}
-    for k, p in enumerate(starts.tolist()):
-        places.setdefault(block.raw[p : p + LENGTH], []).append(k)
-    rows = [(w, int(ids[own].min()), block_id, _as("<u4", starts[own]), _as("<i8", ids[own])) for w, own in places.items()]
-    return _batch(WINDOW_SCHEMA, list(zip(*rows, strict=True)) or [[], [], [], [], []])
-
-
-def _hot_answers(joined: DataFrame, parts: int) -> DataFrame:
-    """Answers for hot anchors. A string meets its copies as one row a block, by a minimum that is taken before and behind the exchange."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block_id, block, known in zip(batch.column("block_id").to_pylist(), _row_blocks(batch), batch.column("shared").to_pylist(), strict=True):
-                yield _hot_windows(block_id, block, known, parts)
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = Answers()
-            for block_id, first, starts, docs in zip(*(batch.column(c).to_pylist() for c in ("block_id", "first", "starts", "docs")), strict=True):
-                for p in np.frombuffer(starts, "<u4")[np.frombuffer(docs, "<i8") > first].tolist():
-                    found.put(block_id, p, p + LENGTH)
-            yield from found.table([]).to_batches()
-
-    rows = settle(joined.where("exists(shared, x -> length(x.hot) > 0)").mapInArrow(send, WINDOW_SCHEMA))
-    first = rows.groupBy("string").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n"))
-    met = rows.join(first, "string").where("n > 1 OR length(starts) > 4")  # AQE splits the rows of a string that nearly all blocks have
-    return met.select("block_id", "first", "starts", "docs").mapInArrow(answer, ANSWER_SCHEMA)
-
-
-def _runs(block_id: int, block: Block, shared, parts: int) -> Iterator[pa.RecordBatch]:
+    h = hashes_at(block.raw, starts) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(31)) + hashes_at(block.raw, starts + SEED_BYTES)
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(29)) + hashes_at(block.raw, starts + LENGTH - SEED_BYTES)
+    h = h * np.uint64(0x94D049BB133111EB)
+    return starts, _dealt(h ^ h >> np.uint64(32), parts)
+
+
+def _trimmed(block: Block, at: np.ndarray, doc: np.ndarray, common, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of a string around each anchor that another place has too, as far as hashes tell."""
+    low, high = _around(block, at, doc)
+    starts, keys = _strings(block, low, high, parts)
+    _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    kept = starts[(counts[back] > 1) | _among(keys, _keys(common, "keys"))]
+    if not len(kept):
+        return low, low - 1
+    first, last = np.searchsorted(kept, low), np.searchsorted(kept, high, "right") - 1
+    found = (low <= high) & (first <= last)
+    return np.where(found, kept[np.minimum(first, len(kept) - 1)], low), np.where(found, kept[last], low - 1)
+
+
+def _runs(block_id: int, block: Block, shared, common, parts: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
     """Front-coded sorted runs of the chosen suffixes by part; what the block can answer itself goes as an answer."""
-    at, doc, part = _chosen(block, shared, parts)
+    at, doc, part, hot = _chosen(block, shared, parts, low, high)
     raw = block.raw
     begin = np.maximum(block.starts[doc], at - BEFORE)
     end = np.minimum(block.ends[doc], at + LENGTH)
+    if hot.any():
+        first, last = _trimmed(block, at[hot], doc[hot], common, high - low)
+        begin[hot], end[hot] = first, last + LENGTH
     wide = end - begin >= LENGTH
     same: dict[tuple, list[int]] = {}
     places, begins, ends, parted = at[wide].tolist(), begin[wide].tolist(), end[wide].tolist(), part[wide].tolist()
@@ -253,7 +282,7 @@ def _runs(block_id: int, block: Block, shared, parts: int) -> Iterator[pa.Record
                 entries.append((q, right, left, first, places[k]))
     if covered:
         starts, stops = np.array([begins[k] for k in covered]), np.array([ends[k] for k in covered])
-        yield _batch(RUN_SCHEMA, [[int(block_id % parts)], [block_id], [b""], [b""], [b""], [b""], [b""], [_as("<u4", starts)], [_as("<u4", stops)]])
+        yield _batch(RUN_SCHEMA, [[int(block_id % parts)], [block_id], [b""], [b""], [b""], [b""], [b""], [_as("<u4", starts)], [_as("u1", stops - starts)]])
     entries.sort()
     by_part = np.array([e[0] for e in entries], np.int64)
     cuts = np.flatnonzero(np.diff(by_part, prepend=-1)).tolist()
@@ -273,7 +302,7 @@ def _runs(block_id: int, block: Block, shared, parts: int) -> Iterator[pa.Record
 
 
 class Answers:
-    """Byte ranges by block."""
+    """Byte ranges by block, none longer than BEFORE + LENGTH."""
 
     def __init__(self):
         self.found: dict[int, tuple[list[int], list[int]]] = {}
@@ -284,8 +313,12 @@ class Answers:
         ends.append(end)
 
     def table(self, raw_rows: list[tuple[int, bytes, bytes]]) -> pa.Table:
-        rows = raw_rows + [(b, _as("<u4", s), _as("<u4", e)) for b, (s, e) in self.found.items()]
-        return pa.table({"block_id": pa.array([r[0] for r in rows], pa.int64()), "starts": pa.array([r[1] for r in rows], pa.binary()), "ends": pa.array([r[2] for r in rows], pa.binary())})
+        rows = list(raw_rows)
+        for block_id, (starts, ends) in self.found.items():
+            at, size = np.array(starts), np.array(ends) - np.array(starts)
+            order = np.argsort(at)
+            rows.append((block_id, _as("<u4", at[order]), _as("u1", size[order])))
+        return pa.table({"block_id": pa.array([r[0] for r in rows], pa.int64()), "starts": pa.array([r[1] for r in rows], pa.binary()), "sizes": pa.array([r[2] for r in rows], pa.binary())})
 
 
 def _settle_group(group: list[tuple], answers: Answers) -> None:
@@ -344,26 +377,74 @@ def _merge_part(table: pa.Table) -> pa.Table:
     return answers.table(passed)
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """Written to a path in the shared folder, compressed, and read from there."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark, path: str) -> None:
+    """Deletes what was stored there for one step alone."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _passes(blocks: DataFrame, shared: DataFrame) -> int:
+    """Passes over the parts: what the suffixes of one take stays below PASS_SHARE of the stored blocks."""
+    stored = blocks.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.sum("file_size")).first()[0] or 0
+    suffixes = shared.selectExpr("sum(aggregate(shared, 0L, (n, x) -> n + x.again + length(x.keys) div 4))").first()[0] or 0
+    return max(1, -(-suffixes * SUFFIX_BYTES // max(1, int(stored * PASS_SHARE))))
+
+
+def _pass(blocks: DataFrame, shared: DataFrame, parts: int, low: int, high: int) -> DataFrame:
+    """The answers of the parts from `low` to before `high`, stored."""
+    spark = blocks.sparkSession
+    some = shared.selectExpr("block_id", f"filter(shared, x -> x.part >= {low} AND x.part < {high}) AS shared").where("size(shared) > 0")
+    joined = blocks.join(some, "block_id", "left").select("block_id", *BLOCK_COLUMNS, "shared")
+    path = None
+    if not some.where("exists(shared, x -> length(x.hot) > 0)").isEmpty():
+
+        def strings(block: Block, known) -> np.ndarray:
+            at, doc, _, hot = _chosen(block, known, parts, low, high)
+            return _strings(block, *_around(block, at[hot], doc[hot]), high - low)[1]
+
+        hot = joined.where("exists(shared, x -> length(x.hot) > 0)")
+        path = work_path(spark, "strings")
+        common = _stored(shared_keys(hot, high - low, strings).withColumnRenamed("shared", "common"), path)
+        joined = joined.join(common, "block_id", "left")
+        del hot
+        release(spark)
+
+    trims = path is not None
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common = batch.column("common").to_pylist() if trims else [None] * batch.num_rows
+            for block_id, block, known, more in zip(batch.column("block_id").to_pylist(), _row_blocks(batch), batch.column("shared").to_pylist(), common, strict=True):
+                yield from _runs(block_id, block, known, more, parts, low, high)
+
+    runs = joined.mapInArrow(send, RUN_SCHEMA)
+    answers = _stored(runs.repartition(_tasks(spark, high - low), "part").groupBy("part").applyInArrow(_merge_part, ANSWER_SCHEMA), work_path(spark, "answers"))
+    if path is not None:
+        _drop(spark, path)
+    return answers
+
+
 def repeats(docs: DataFrame, keep: bool) -> DataFrame:
-    """The stored blocks with the byte ranges to remove: BLOCK_SCHEMA and `found`, a list of (starts, ends)."""
+    """The stored blocks with the byte ranges to remove: BLOCK_SCHEMA and `found`, a list of (starts, sizes)."""
     spark = docs.sparkSession
     blocks = write_blocks(docs, keep)
     release(spark)
     parts = max(4 * partitions(spark), -(-blocks.count() * BLOCK_BYTES // PART_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a block is some megabytes
-    shared = settle(shared_keys(blocks, parts))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block_id, block, known in zip(batch.column("block_id").to_pylist(), _row_blocks(batch), batch.column("shared").to_pylist(), strict=True):
-                yield from _runs(block_id, block, known, parts)
-
-    joined = blocks.join(shared, "block_id", "left").select("block_id", "doc_ids", "nulls", "sizes", "raw", "shared")
-    runs = joined.mapInArrow(send, RUN_SCHEMA)
-    answers = runs.repartition(_tasks(spark, parts), "part").groupBy("part").applyInArrow(_merge_part, ANSWER_SCHEMA)
-    if not shared.where("exists(shared, x -> length(x.hot) > 0)").isEmpty():
-        answers = answers.unionByName(_hot_answers(joined, parts))
-    found = answers.groupBy("block_id").agg(F.collect_list(F.struct("starts", "ends")).alias("found"))
+    shared = settle(shared_keys(blocks, parts, lambda block, _: block.anchors(parts)[2]))
+    release(spark)
+    passes, answers = min(parts, _passes(blocks, shared)), []
+    for k in range(passes):
+        answers.append(_pass(blocks, shared, parts, parts * k // passes, parts * (k + 1) // passes))
+        release(spark)
+    every = reduce(DataFrame.unionByName, answers)
+    found = every.groupBy("block_id").agg(F.collect_list(F.struct("starts", "sizes")).alias("found"))
     return blocks.join(found, "block_id", "left")
 
 
@@ -371,8 +452,9 @@ def _removed(block: Block, found) -> np.ndarray:
     """A flag for each byte of the block."""
     step = np.zeros(len(block.raw) + 1, np.int32)
     for x in found or []:
-        np.add.at(step, np.frombuffer(x["starts"], "<u4"), 1)
-        np.add.at(step, np.frombuffer(x["ends"], "<u4"), -1)
+        starts = np.frombuffer(x["starts"], "<u4").astype(np.int64)
+        np.add.at(step, starts, 1)
+        np.add.at(step, starts + np.frombuffer(x["sizes"], "u1"), -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -403,7 +485,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, mask=block.nulls), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked.select("doc_ids", "nulls", "sizes", "raw", "found").mapInArrow(digest, DIGEST_SCHEMA)
+    return marked.select(*BLOCK_COLUMNS, "found").mapInArrow(digest, DIGEST_SCHEMA)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
