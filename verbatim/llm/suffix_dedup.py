@@ -36,7 +36,7 @@ BLOCK_BYTES = 8 << 20
 #: Bytes of text whose suffixes meet in one part, at most.
 PART_BYTES = 8 << 20
 #: Bytes that a suffix takes in an exchange, about, and what those of one pass may take, as a share of the stored blocks.
-SUFFIX_BYTES = 30
+SUFFIX_BYTES = 42
 PASS_SHARE = 2.0
 BLOCK_SCHEMA = "block_id long, doc_ids binary, nulls binary, sizes binary, raw binary, gaps binary, rest binary"
 BLOCK_COLUMNS = ("doc_ids", "nulls", "sizes", "raw", "gaps")
