@@ -1,12 +1,14 @@
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from verbatim.llm import packing, simple8b, token_counts, token_files
+from verbatim.llm import packing, simple8b, token_counts, token_files, tokens
 from verbatim.llm.tokens import UnitEncoder
 
 from .helpers import EDGES, edge_docs, empty_docs, frame, some_texts
@@ -66,6 +68,24 @@ def test_token_files(spark, tmp_path):
     assert got == expected_tokens(rows, 2)
 
 
+def test_reading_token_files_gives_back_the_encoders_units(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    docs = frame(spark, some_texts(60))
+
+    def kept(batches):
+        held = tokens.encoder.cache_info().currsize
+        yield from (pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([held])], ["pid", "kept"]) for batch in batches if batch.num_rows)
+
+    def workers():
+        return {r.pid: r.kept for r in spark.range(400).repartition(8).mapInArrow(kept, "pid long, kept long").collect()}
+
+    token_files.write_token_files(docs, path)
+    before = workers()
+    assert token_files.read_token_files(spark, path).count() == 60
+    after = workers()
+    assert [pid for pid, n in before.items() if n and after.get(pid) == 0]
+
+
 def test_token_files_edges(spark):
     got = token_files.token_files(edge_docs(spark)).collect()
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((d is not None, d or 0, n, c) for d, _, n, c in expected_tokens(EDGES, 2))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, slices, small_batches, work_path
 from .simple8b import DOC, read_image, write_image
-from .tokens import encoder
+from .tokens import drop_encoders, encoder
 
 #: Ids after which an image is closed; one longer document makes one longer image.
 IMAGE_IDS = 1 << 17
@@ -78,6 +78,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     based = files.join(F.broadcast(bases), "file_id").select((F.col("base") + F.col("ids_before")).alias("start"), "image")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         for batch in batches:
             for start, image in zip(batch.column("start").to_pylist(), batch.column("image"), strict=True):
                 docs, ids = read_image(image.as_buffer())

@@ -133,3 +133,8 @@ class UnitEncoder(dict):
 def encoder(file: str, literal: bool = False) -> UnitEncoder:
     """One for each file and worker process."""
     return UnitEncoder(file, literal=literal)
+
+
+def drop_encoders() -> None:
+    """For steps that encode nothing: a worker that is used again gives back the units its encoders keep."""
+    encoder.cache_clear()
