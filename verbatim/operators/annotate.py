@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.english import EnglishTokenizer, align
-from ..functions.words import each, with_spans
+from ..functions.words import with_spans
 from ..schema import TOKEN
 from .tagger import Model
 
+#: Tokens that Python holds before it gives them to Spark; one text's come on top.
+BATCH_TOKENS = 1 << 16
+_ARROW = {"word": pa.string(), "lemma": pa.string(), "pos": pa.string(), "byte_start": pa.int32(), "byte_end": pa.int32()}
+
 
 class Annotator(Protocol):
     id: str
@@ -33,7 +39,7 @@ class WordOnly:
 
 
 class TreeAnnotator:
-    """English tokens, tagged by a model that is broadcast once; one Arrow batch of documents at a time."""
+    """English tokens, tagged by a model that is broadcast once; memory goes by BATCH_TOKENS, not by Spark's batches."""
 
     id, languages = "tree-viterbi", ("en",)
 
@@ -42,34 +48,85 @@ class TreeAnnotator:
 
     def annotate(self, docs: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast((self.model, self.tokenizer))
+        docs = docs.drop("tokens", "annotated")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from array_batches(batches, lambda text: _layers(*shared.value, text))
+
+        added = [T.StructField("tokens", T.ArrayType(TOKEN)), T.StructField("annotated", T.BooleanType(), False)]
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+
+    def tokens(self, docs: DataFrame) -> DataFrame:
+        """The tokens alone, one row each: doc_id, position, word, pos, lemma, byte_start, byte_end."""
+        shared = docs.sparkSession.sparkContext.broadcast((self.model, self.tokenizer))
 
-        @F.pandas_udf(f"array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in TOKEN.fields)}>>")
-        def tag(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model, tokenizer = shared.value
-            for batch in texts:
-                yield batch.map(lambda t: _tokens(model, tokenizer, t))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from row_batches(batches, lambda text: _layers(*shared.value, text), ("word", "pos", "lemma", "byte_start", "byte_end"))
 
-        return docs.withColumn("tokens", tag("text")).withColumn("annotated", F.lit(True))
+        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, position int, word string, pos string, lemma string, byte_start int, byte_end int")
 
 
-def _tokens(model: Model, tokenizer: EnglishTokenizer, text: str | None) -> list[dict]:
-    text = text or ""
+def _layers(model: Model, tokenizer: EnglishTokenizer, text: str) -> dict[str, list]:
     words = tokenizer.tokenize(text)
-    return [
-        {"word": w, "lemma": lemma, "pos": pos, "byte_start": a, "byte_end": b}
-        for w, (pos, lemma), (a, b) in zip(words, model.tag(words), align(words, text), strict=True)
-    ]
+    tags, spans = model.tag(words), align(words, text)
+    return {"word": words, "lemma": [x for _, x in tags], "pos": [t for t, _ in tags], "byte_start": [a for a, _ in spans], "byte_end": [b for _, b in spans]}
+
+
+def row_batches(batches: Iterator[pa.RecordBatch], cut: Callable[[str], dict[str, list]], layers: tuple[str, ...], most: int = BATCH_TOKENS) -> Iterator[pa.RecordBatch]:
+    """From doc_id, text to doc_id, position and the layers that `cut` gives, in batches of `most` tokens at most."""
+
+    def batch(ids: list, positions: list, columns: dict[str, list]) -> pa.RecordBatch:
+        arrays = [pa.array(ids, pa.int64()), pa.array(positions, pa.int32()), *[pa.array(columns[k], _ARROW[k]) for k in layers]]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "position", *layers])
+
+    ids, positions, held = [], [], {k: [] for k in layers}
+    for doc_id, text in chain.from_iterable(_texts(b, b.column("doc_id")) for b in batches):
+        found = cut(text)
+        n = len(found["word"])
+        for at in range(0, n, most):
+            if len(ids) + min(most, n - at) > most:
+                yield batch(ids, positions, held)
+                ids, positions, held = [], [], {k: [] for k in layers}
+            here = range(at, min(at + most, n))
+            ids += [doc_id] * len(here)
+            positions += here
+            for k in layers:
+                held[k] += found[k][at : at + most] if n > most else found[k]
+    if ids:
+        yield batch(ids, positions, held)
+
+
+def array_batches(batches: Iterator[pa.RecordBatch], cut: Callable[[str], dict[str, list]], most: int = BATCH_TOKENS) -> Iterator[pa.RecordBatch]:
+    """Adds `tokens` and `annotated`; a batch ends with the text that brings its tokens to `most`."""
+    layers = [f.name for f in TOKEN.fields]
+    for batch in batches:
+        first, ends, held = 0, [0], {k: [] for k in layers}
+        for k, (_, text) in enumerate(_texts(batch, batch.column("text"))):
+            found = cut(text)
+            for layer in layers:
+                held[layer] += found[layer]
+            ends.append(len(held["word"]))
+            if ends[-1] >= most or k + 1 == batch.num_rows:
+                structs = pa.StructArray.from_arrays([pa.array(held[x], _ARROW[x]) for x in layers], layers)
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+                part = batch.slice(first, k + 1 - first)
+                yield pa.RecordBatch.from_arrays([*part.columns, tokens, pa.array([True] * part.num_rows)], [*part.schema.names, "tokens", "annotated"])
+                first, ends, held = k + 1, [0], {x: [] for x in layers}
+
+
+def _texts(batch: pa.RecordBatch, keys: pa.Array) -> Iterator[tuple]:
+    """Key and text of each row, one at a time; a null text is empty."""
+    return ((key.as_py(), text.as_py() or "") for key, text in zip(keys, batch.column("text"), strict=True))
 
 
 def english_tokens(docs: DataFrame, abbreviations: list[str] | None = None) -> DataFrame:
     """doc_id, position, word by the English rules."""
     tokenizer = EnglishTokenizer(abbreviations or ())
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: tokenizer.tokenize(t or ""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from row_batches(batches, lambda text: {"word": tokenizer.tokenize(text)}, ("word",))
 
-    return each(docs, split("text"), "doc_id").withColumnRenamed("value", "word")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, position int, word string")
 
 
 def tag_by_lexicon(tokens: DataFrame, lexicon: DataFrame, bound: int = 64 << 20) -> DataFrame:
