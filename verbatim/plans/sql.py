@@ -32,8 +32,9 @@ def register(corpus: DataFrame, view: str = "corpus") -> None:
             "kwic" if layer == "word" else f"kwic_{layer}",
             "term STRING, context INT",
             "doc_id BIGINT, path STRING, position INT, left STRING, hit STRING, right STRING",
-            "SELECT doc_id, path, p, array_join(slice(w, greatest(p - context, 0) + 1, least(p, context)), ' '), get(w, p), array_join(slice(w, p + 2, context), ' ') "
-            f"FROM (SELECT doc_id, path, tokens.word AS w, explode_outer({_hits(layer)}) AS p FROM {view}) WHERE p IS NOT NULL",
+            "SELECT doc_id, path, x.p, x.l, x.h, x.r FROM (SELECT doc_id, path, explode_outer(transform(ps, p -> named_struct('p', p, "
+            "'l', array_join(slice(w, greatest(p - context, 0) + 1, least(p, context)), ' '), 'h', get(w, p), 'r', array_join(slice(w, p + 2, context), ' ')))) AS x "
+            f"FROM (SELECT doc_id, path, tokens.word AS w, {_hits(layer)} AS ps FROM {view})) WHERE x IS NOT NULL",
         )
     put("frequency", "", "word STRING, n BIGINT", f"SELECT lower(t), count(*) FROM (SELECT explode_outer(tokens.word) AS t FROM {view}) WHERE t IS NOT NULL GROUP BY 1")
     put(
@@ -51,8 +52,9 @@ def register(corpus: DataFrame, view: str = "corpus") -> None:
         "SELECT x.w, count_if(x.s = 'l'), count_if(x.s = 'r'), count(*) FROM (SELECT explode(concat("
         "transform(slice(l, greatest(size(l) - left_window, 0) + 1, left_window), w -> named_struct('s', 'l', 'w', w)), "
         "transform(slice(r, 1, right_window), w -> named_struct('s', 'r', 'w', w)))) AS x FROM (SELECT "
-        f"{shaped(f'slice(a, greatest(p - {reach}, 0) + 1, least(p, {reach}))')} AS l, {shaped(f'slice(a, p + 2, {reach})')} AS r "
-        f"FROM (SELECT tokens.word AS a, explode_outer({_hits('word')}) AS p FROM {view}) WHERE p IS NOT NULL)) GROUP BY 1",
+        f"{shaped('y.l')} AS l, {shaped('y.r')} AS r FROM (SELECT explode_outer(transform(ps, p -> named_struct("
+        f"'l', slice(a, greatest(p - {reach}, 0) + 1, least(p, {reach})), 'r', slice(a, p + 2, {reach})))) AS y "
+        f"FROM (SELECT tokens.word AS a, {_hits('word')} AS ps FROM {view})) WHERE y IS NOT NULL)) GROUP BY 1",
     )
     places = f"SELECT doc_id, size(tokens) AS n, explode_outer({_hits('word')}) AS p FROM {view}"
     put("dispersion", "term STRING", "doc_id BIGINT, mark INT, hits BIGINT", f"SELECT doc_id, cast(floor(p * 100 / n) AS INT), count(*) FROM ({places}) WHERE p IS NOT NULL GROUP BY 1, 2")
