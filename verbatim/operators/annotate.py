@@ -30,7 +30,7 @@ class Annotator(Protocol):
 
 
 class WordOnly:
-    """Unicode words with null lemma and tag; built-in expressions only."""
+    """Unicode words with null lemma and tag."""
 
     id, languages = "word-only", ("*",)
 
@@ -151,12 +151,25 @@ def tag_by_lexicon(tokens: DataFrame, lexicon: DataFrame, bound: int = 64 << 20)
     )
 
 
-def tag_by_suffix(tokens: DataFrame, suffixes: DataFrame, longest: int = 6, default: str = "NN") -> DataFrame:
-    """Longest known suffix as an equi-join: each distinct word's suffixes against suffixes(suffix, tag)."""
+def tag_by_suffix(tokens: DataFrame, suffixes: DataFrame, longest: int = 6, default: str = "NN", bound: int = 64 << 20) -> DataFrame:
+    """Longest known suffix of suffixes(suffix, tag) as equi-joins, one a length; tokens are not shuffled.
+
+    Suffixes of `bound` bytes and more are joined by key, with each distinct word's endings.
+    """
+    n = F.length("suffix")
+    known = suffixes.where((n >= 1) & (n <= longest)).groupBy("suffix").agg(F.struct(F.max("tag").alias("tag")).alias("__t"))
+    sizes = {r["n"]: r["size"] for r in known.groupBy(n.alias("n")).agg(F.sum(F.octet_length("suffix") + 64).alias("size")).collect()}  # `longest` rows at most
+    if sum(sizes.values()) <= bound:
+        out, order = tokens.withColumn("__w", F.lower("word")), sorted(sizes, reverse=True)
+        for k in order:
+            part = known.where(n == k).select(F.col("suffix").alias(f"__s{k}"), F.col("__t").alias(f"__t{k}"))
+            out = out.join(F.broadcast(part), F.right("__w", F.lit(k)) == F.col(f"__s{k}"), "left")
+        found = F.coalesce(*[F.col(f"__t{k}") for k in order])["tag"] if order else F.lit(None)
+        return out.withColumn("pos", F.coalesce(found, F.lit(default))).drop("__w", *[f"__{x}{k}" for x in "st" for k in order])
     w = tokens.select(F.lower("word").alias("__w")).distinct()
     endings = w.select("__w", F.explode(F.expr(f"transform(sequence(1, least(length(__w), {longest})), n -> right(__w, n))")).alias("suffix"))
-    best = endings.join(suffixes, "suffix").groupBy("__w").agg(F.max_by("tag", F.length("suffix")).alias("__t"))
-    return tokens.join(best, F.lower("word") == F.col("__w"), "left").withColumn("pos", F.coalesce("__t", F.lit(default))).drop("__w", "__t")
+    best = endings.join(known, "suffix").groupBy("__w").agg(F.max_by("__t", F.length("suffix")).alias("__t"))
+    return tokens.join(best, F.lower("word") == F.col("__w"), "left").withColumn("pos", F.coalesce(F.col("__t.tag"), F.lit(default))).drop("__w", "__t")
 
 
 def merge_layers(words: DataFrame, tags: DataFrame) -> DataFrame:
